@@ -52,32 +52,56 @@ class RunIndex:
         return batch[seen]
 
 
+def rolling(x: np.ndarray, width: int, k: int) -> np.ndarray:
+    """Polynomial hashes of all windows, from hashes of windows of half the length, and so on."""
+    if width == 1:
+        return x
+    half = width // 2
+    low = rolling(x, half, k)
+    out = low[: len(low) - half] * np.uint64(pow(k, half, 1 << 64)) + low[half:]
+    if width % 2:
+        out = out[:-1] * np.uint64(k) + x[width - 1 :]
+    return out
+
+
 class Windows:
-    """A block's windows: two hashes, document and start of each, in (document, start) order."""
+    """A block's windows in (document, start) order: two hashes of each, and which repeat an earlier one of the block.
+
+    ``first``: the places of first windows, by ascending hash.
+    """
 
     def __init__(self, b: Block, width: int):
-        digests = [xxhash.xxh3_128_intdigest(w) for w in b.vocab]
+        words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, b.vocab)), ">u8").astype(np.uint64).reshape(-1, 2)
         self.doc = np.repeat(np.arange(len(b.n)), b.n)
         count = max(len(b.toks) - width + 1, 0)
         self.at = np.flatnonzero(self.doc[:count] == self.doc[width - 1 :]) if count else np.empty(0, np.int64)
-        self.h1, self.h2 = (self.hashes(np.array([(d >> s) & (2**64 - 1) for d in digests], np.uint64), b.toks, width, k) for s, k in ((0, 0x9E3779B97F4A7C15), (64, 0xD6E8FEB86659FD93)))
-        ids = np.array([NO_ID if i is None else i for i in b.doc_id], np.int64)
-        self.id = ids[self.doc[self.at]]
-        self.start = self.at - b.starts[self.doc[self.at]]
-        order = np.lexsort((self.h2, self.h1))  # stable: equal windows stay in order
-        same = (self.h1[order][1:] == self.h1[order][:-1]) & (self.h2[order][1:] == self.h2[order][:-1])
-        self.again = np.zeros(len(order), bool)
-        self.again[order[1:][same]] = True
-        self.first = order[np.concatenate([[True], ~same])] if len(order) else order
-
-    def hashes(self, of_word: np.ndarray, toks: np.ndarray, width: int, k: int) -> np.ndarray:
-        x, out = of_word[toks] if len(toks) else np.empty(0, np.uint64), np.zeros(max(len(toks) - width + 1, 0), np.uint64)
-        for i in range(width):
-            out = out * np.uint64(k) + x[i : i + len(out)]
-        return mix(out[self.at])
-
-    def short(self) -> np.ndarray:
-        return np.unique(self.h1[self.first] >> np.uint64(SHORT))
+        none = np.empty(0, np.uint64)
+        self.h1, self.h2 = (rolling(words[:, i][b.toks], width, k)[self.at] if count else none for i, k in ((0, 0x9E3779B97F4A7C15), (1, 0xD6E8FEB86659FD93)))
+        self.h1 = mix(self.h1)
+        self.b = b
+        self.again = np.zeros(len(self.at), bool)
+        self.first = order = np.argsort(self.h1)
+        sorted1 = self.h1[order]
+        same = sorted1[1:] == sorted1[:-1]
+        if same.any():
+            if (self.h2[order[1:]] != self.h2[order[:-1]])[same].any():  # two windows of one first hash
+                order = np.lexsort((self.h2, self.h1))
+                sorted1 = self.h1[order]
+                same = (sorted1[1:] == sorted1[:-1]) & (self.h2[order[1:]] == self.h2[order[:-1]])
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            self.first = np.minimum.reduceat(order, starts)
+            self.again[:] = True
+            self.again[self.first] = False
+            sorted1 = sorted1[starts]
+        self.short_of_first = sorted1 >> np.uint64(SHORT)
+        fresh = np.concatenate([[True], self.short_of_first[1:] != self.short_of_first[:-1]])[: len(sorted1)]
+        self.short, self.number = self.short_of_first[fresh], np.cumsum(fresh) - 1
+
+    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document ids (null: the largest) and starts of windows."""
+        ids = np.array([NO_ID if i is None else i for i in self.b.doc_id], np.int64)
+        doc = self.doc[self.at[at]]
+        return ids[doc], self.at[at] - self.b.starts[doc]
 
 
 def ranges(short: np.ndarray, n: int):
@@ -106,7 +130,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     n = buckets_for(blocks.agg(F.sum("tokens")).first()[0] or 0, bucket_keys)
 
     def send(b: Block):
-        short = Windows(b, width).short()
+        short = Windows(b, width).short
         for k, at in ranges(short, n):
             yield k, pack_sorted(short[at])
 
@@ -116,22 +140,24 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             hits.append(index.add(run))
         shared = np.unique(np.concatenate(hits))
         for block, run in zip(sent, runs, strict=True):
-            yield bucket, block, _flags(np.isin(run, shared, assume_unique=True)), []
+            at = np.minimum(np.searchsorted(shared, run), max(len(shared) - 1, 0))
+            yield bucket, block, _flags(shared[at] == run if len(shared) else np.zeros(len(run), bool)), []
 
     def candidates(w: Windows, got: dict[int, bytes]):
         """(range, positions in w) of first windows whose short hash other blocks have too."""
-        short = w.short()
-        shared = np.zeros(len(short), bool)
-        for k, at in ranges(short, n):
+        shared = np.zeros(len(w.short), bool)
+        for k, at in ranges(w.short, n):
             shared[at] = _unflags(got[k])
-        of = w.h1[w.first] >> np.uint64(SHORT)
-        hit = shared[np.searchsorted(short, of)] if len(of) else np.empty(0, bool)
+        hit = shared[w.number]
         rows = w.first[hit]
-        return [(k, rows[at]) for k, at in ranges(of[hit], n)]
+        return [(k, rows[at]) for k, at in ranges(w.short_of_first[hit], n)]
 
     def ask(b: Block, got: dict[int, bytes]) -> pa.Table:
         w = Windows(b, width)
-        out = [(k, pack(np.diff(w.h1[at], prepend=np.uint64(0)), w.h2[at], w.id[at].view(np.uint64), w.start[at])) for k, at in candidates(w, got)]
+        out = []
+        for k, at in candidates(w, got):
+            ids, start = w.place(at)
+            out.append((k, pack(np.diff(w.h1[at], prepend=np.uint64(0)), w.h2[at], ids.view(np.uint64), start)))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([b.block] * len(out), pa.int64()), "body": pa.array([x[1] for x in out], pa.binary())})
 
     def verify(bucket: int, sent: list[int], bodies: list[bytes]):
@@ -150,14 +176,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     def remove(b: Block, got: dict[int, bytes]) -> pa.Table:
         w = Windows(b, width)
         again = w.again.copy()
-        earlier = np.zeros(len(again), bool)
-        for k, at in candidates(w, got):
-            earlier[at] = _unflags(got[n + k])
-        if earlier.any():  # a first window that is not the first of all
-            again |= earlier
+        for k, at in candidates(w, got):  # the first of the block is not the first of all
+            again[at] = _unflags(got[n + k])
         edge = np.zeros(len(b.toks) + 1, np.int64)
-        np.add.at(edge, w.at[again], 1)
-        np.add.at(edge, w.at[again] + width, -1)
+        edge[w.at[again]] += 1
+        edge[w.at[again] + width] -= 1
         keep = np.cumsum(edge)[:-1] == 0
         words = np.array(b.vocab, object)
         sha, gone = [], []
