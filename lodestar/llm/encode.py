@@ -2,10 +2,10 @@
 
 The vocabulary's pre-tokenizer drops white space and never joins characters across it, and its
 normaliser lower-cases, so a text's ids are the ids of its words between ASCII white space, one after
-the other. Words are encoded by the library once each while they stay in a bounded cache. A word that
-ends in one ASCII punctuation mark after a letter is two pre-tokens and is put together from them. A
-run of lower-case Latin letters is one pre-token that the normaliser leaves alone, and goes to the
-library's model directly; every other word goes through the library's whole pipeline.
+the other. Words are encoded by the library once each while they stay in a bounded cache. Words of
+lower-case Latin letters, digits and ASCII punctuation without apostrophes are left alone by the
+normaliser, and their pre-tokens are runs of letters, single digits and runs of punctuation: those go
+to the library's model directly. Every other word goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from array import array
 
 #: Words that the cache holds before it starts anew.
 CACHE_WORDS = 700_000
-_MARKS = (b".", b",", b";", b":", b"!", b"?")
-_LATIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)[.,;:!?]?")
+_PIECE = rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+"
+_PIECES = re.compile(_PIECE)
+_SIMPLE = re.compile(rb"(?:" + _PIECE + rb")+")
 
 
 def byte_letters() -> list[str]:
@@ -26,49 +27,35 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
-class WordEncoder:
-    """Texts (UTF-8) to little-endian unsigned 32-bit ids; no special tokens are added."""
+class WordEncoder(dict):
+    """Word -> its little-endian unsigned 32-bit ids; ``encode_batch`` does whole texts (UTF-8). No special tokens are added."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = {i: c for i, c in enumerate(byte_letters())}
-        self.cache: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        cache, tokenize, letters, match, rest, later = self.cache, self.model.tokenize, self.letters, _LATIN.fullmatch, [], []
-        for w in words:
-            if not (m := match(w)):
-                rest.append(w)
-                continue
-            core = m[1]
-            if core not in cache:
-                text = core.decode("latin-1")
-                if not text.isascii():
-                    text = text.translate(letters)
-                cache[core] = array("I", [t.id for t in tokenize(text)]).tobytes()
-            if core is not w and len(core) < len(w):
-                later.append((w, core))
-        rest += [m for m in _MARKS if m not in cache]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            cache[w] = array("I", e.ids).tobytes()
-        for w, core in later:
-            cache[w] = cache[core] + cache[w[-1:]]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        if not _SIMPLE.fullmatch(word) or b"<|" in word:
+            ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        elif len(pieces := _PIECES.findall(word)) > 1:
+            ids = b"".join(map(self.__getitem__, pieces))
+        else:
+            text = word.decode("latin-1")
+            ids = array("I", [t.id for t in self.tokenize(text if text.isascii() else text.translate(self.letters))]).tobytes()
+        self[word] = ids
+        return ids
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text; an empty text has none."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            split = [(t if b"<|" in t else t.lower()).split() for t in texts[at : at + 256]]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            words = set().union(*split)
-            if missing := words - self.cache.keys():
-                self._learn(missing)
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, ws)) for ws in split]
+        out, get = [], self.__getitem__
+        for t in texts:
+            if len(self) > CACHE_WORDS:
+                self.clear()
+            out.append(b"".join(map(get, (t if b"<|" in t else t.lower()).split())))
         return out
 
 
