@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from lodestar.plans import decisions, reports  # noqa: F401  they register their queries
+from lodestar.plans.base import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return ORACLES
