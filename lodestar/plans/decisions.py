@@ -247,13 +247,20 @@ def text_lines(spark: SparkSession, sf: str) -> DataFrame:
     return extract.lines(table(spark, sf, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.trim("raw_line") != "").alias("filled"))
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
 @query()
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as a stream, the first of each content kept, read back from the sink."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     out = f"{base}/ingest-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lodestar-")
     source = f"{sf}/documents.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    schema = spark.read.parquet(source).schema
+    files = spark.readStream.schema(schema)
+    stream = files.option("pathGlobFilter", "documents.parquet").parquet(sf) if _is_file(spark, source) else files.parquet(source)
     stream = stream.select("doc_id", F.sha2("text", 256).alias("sha256"))
     ingest(stream, "sha256", f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema("doc_id long, sha256 string").parquet(f"{out}/table").select("sha256")
