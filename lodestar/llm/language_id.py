@@ -22,6 +22,7 @@ WIDTH, HIDDEN = 64, 8
 LANES = 2048
 #: Bounds of the training sample: documents of a language, and windows of a document.
 DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 6
+PARTS = 64
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -162,8 +163,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.filter(F.col(lang_col).isNotNull() & body.isNotNull() & key.isNotNull() & (F.octet_length(body) > 0) & (F.crc32(key.cast("string").cast("binary")) % fold != held))
     spread = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda k: F.substring(body, F.floor(F.greatest(F.octet_length(body) - WIDTH, F.lit(0)) * k / (WINDOWS_PER_DOC - 1)).cast("int") + 1, F.lit(WIDTH)))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), key.alias("k"), F.array_distinct(spread).alias("x"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    sample = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= docs_per_lang).select("lang", "k", "x").collect()
+    order = (F.xxhash64("k"), F.col("k"))
+    for part in ([F.pmod(F.xxhash64("k"), F.lit(PARTS))], []):  # by part first, so that few rows of a language meet in one task
+        rank = F.row_number().over(Window.partitionBy("lang", *part).orderBy(*order))
+        rows = rows.withColumn("rank", rank).filter(F.col("rank") <= docs_per_lang).drop("rank")
+    sample = rows.collect()
     sample.sort(key=lambda r: (r.lang, r.k))
     langs = sorted({r.lang for r in sample})
     if not langs:
