@@ -1,9 +1,9 @@
 """Operator 5: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
 The test items are a stated query set: they are taken in blocks of bounded size, and each block goes
-once over all documents. A first pass counts in how many documents each n-gram of the block occurs. The
-rarest half of each item's n-grams are its seeds, so that an item always has some, however often its
-passage was copied. A document that holds seeds is aligned with the item around them; the score is the
+once over all documents. A first pass counts in how many documents each n-gram of the block occurs. Those
+that are rare, in absolute numbers or beside the item's others, are its seeds, so that an item always
+has some, however often its passage was copied. A document that holds seeds is aligned with the item around them; the score is the
 best local alignment over that of a perfect copy.
 """
 
@@ -22,14 +22,17 @@ from lodestar.llm.common import slim
 
 #: Bytes of item texts in a block, about.
 BLOCK_BYTES = 1 << 20
+#: An n-gram in so many documents is rare in any corpus.
+RARE = 32
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 OUT = "doc_id long, item_id long, score double, n_seeds long"
 
 
 def words(body: bytes | None) -> list[bytes]:
-    """Lower-case A-Z; ASCII letters, digits and all bytes beyond ASCII make words."""
-    return (body or b"").translate(_WORDS).split()
+    """Lower case; ASCII letters, digits and all characters beyond ASCII make words."""
+    body = body or b""
+    return (body if body.isascii() else body.decode("utf-8", "replace").lower().encode()).translate(_WORDS).split()
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
@@ -93,14 +96,19 @@ class Items:
         return (np.concatenate(grams), np.concatenate(places)) if grams else (np.empty(0, np.int64),) * 2
 
     def seeds(self, counts: dict[int, int]) -> np.ndarray:
-        """Which n-grams are seeds: the rarer half of an item's, four at least (all of an item that has fewer)."""
+        """Which n-grams are seeds: those in RARE documents at most, or in twice the median of their item's.
+
+        Half of an item's n-grams are seeds at least, so a passage that is copied everywhere keeps
+        its own; only what is common by the item's own measure is left out.
+        """
         of = defaultdict(set)
         for g, places in enumerate(self.places):
             for k, _ in places:
                 of[k].add(g)
         out = np.zeros(len(self.grams), bool)
         for own in of.values():
-            out[sorted(own, key=lambda g: (counts.get(g, 0), g))[: max(4, (len(own) + 1) // 2)]] = True
+            found = np.array([counts.get(g, 0) for g in own])
+            out[np.array(list(own))[found <= max(2 * np.median(found), RARE)]] = True
         return out
 
     def scores(self, t: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, float, int]]:
@@ -135,10 +143,11 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item at or above ``threshold``. Null and empty texts stay."""
     texts = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("body"))
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # a name may hold a dot
     for block in item_blocks(benchmark, item_col, item_text, n, block_bytes):
         docs = docs.mapInArrow(_keeper(block, seeds_of(texts, block), threshold, at), docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, n: int, block_bytes: int) -> Iterator[Items]:

@@ -22,7 +22,8 @@ WIDTH, HIDDEN = 64, 8
 LANES = 2048
 #: Bounds of the training sample: documents of a language, and windows of a document.
 DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 6
-PARTS = 64
+#: Parts of a language that are ranked before the whole.
+PARTS = 16
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -185,7 +186,7 @@ def predict(docs: DataFrame, langs: list[str], net: BiGru | None, id_col: str =
     """The columns ``keep`` of ``docs``, then the language and its score as ``names``; only the text decides them."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").cast("binary").alias("__body"))
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").cast("binary").alias("__body"))
     schema = StructType([*source.schema.fields[:-1], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def predict(docs: DataFrame, langs: list[str], net: BiGru | None, id_col: str =
                 score = pa.array(np.where(known, np.minimum(p[np.arange(len(p)), best], 1.0), 0.0), pa.float64())
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], lang, score], names=[*some.schema.names[:-1], *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 5, held: int = 0) -> DataFrame:

@@ -3,7 +3,7 @@
 A file is a table of segments in ascending order of document ids. A segment has one shared frequency
 table, the ids and lengths of its documents, and independent blocks. A block interleaves ``LANES``
 coders: symbol i belongs to lane i modulo LANES. Its checkpoint (first symbol, place of its words,
-lane states, checksum of its ids) lets any block be decoded alone, in any order.
+lane states, checksum of its ids and its coded bytes) lets any block be decoded alone, in any order.
 """
 
 from __future__ import annotations
@@ -96,7 +96,8 @@ def encode_segment(doc_ids: list[int | None], ids: list[bytes], lanes: int = LAN
     for at in range(0, len(tokens), block):
         x, words = encode_block(inverse[at : at + block], f, start, scale, lanes)
         n = min(block, len(tokens) - at)
-        blocks.append(struct.pack("<IIII", at, n, len(words), zlib.crc32(raw[4 * at : 4 * (at + n)])) + x.astype("<u8").tobytes() + words.astype("<u4").tobytes())
+        coded = x.astype("<u8").tobytes() + words.astype("<u4").tobytes()
+        blocks.append(struct.pack("<IIII", at, n, len(words), zlib.crc32(coded, zlib.crc32(raw[4 * at : 4 * (at + n)]))) + coded)
     index = np.cumsum([0] + [len(b) for b in blocks])[:-1].astype("<u8").tobytes()
     head = _HEAD.pack(MAGIC, scale, lanes, len(ids), len(blocks), len(table), len(directory), zlib.crc32(table + directory))
     return head + table + directory + index + b"".join(blocks)
@@ -125,7 +126,7 @@ class Segment:
         x = np.frombuffer(self.body, "<u8", self.lanes, at + 16)
         w = np.frombuffer(self.body, "<u4", words, at + 16 + 8 * self.lanes)
         raw = self.symbols[decode_block(n, x, w, self.slots, self.freq, self.start, self.scale)].astype("<u4").tobytes()
-        if zlib.crc32(raw) != crc:
+        if zlib.crc32(self.body[at + 16 : at + 16 + 8 * self.lanes + 4 * words], zlib.crc32(raw)) != crc:
             raise ValueError(f"block {k} is damaged")
         return raw
 

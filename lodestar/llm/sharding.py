@@ -117,7 +117,7 @@ def minimax_shards(spark: SparkSession, docs: DataFrame, shards: int = 40, id_co
     groups = ws.write(groups.withColumn("part", F.coalesce(F.floor((F.col("least") - F.lit(ids[0] or 0)) / F.lit(step)), F.lit(-1)).cast("int")), "groups")
 
     left, own = ids[2] or 0, []
-    big = groups.filter(F.col("bytes") > left // shards).orderBy(F.desc("bytes"), "g").limit(shards).select("g", "bytes").collect()
+    big = groups.orderBy(F.desc("bytes"), "g").limit(shards).select("g", "bytes").collect()
     for r in big:
         if len(own) + 1 < shards and r.bytes * (shards - len(own)) > left:
             own.append(bytes(r.g))
