@@ -84,7 +84,14 @@ def encode_segment(doc_ids: list[int | None], ids: list[bytes], lanes: int = LAN
     """A segment of the format from documents' little-endian 32-bit ids (at least one id in all)."""
     raw = b"".join(ids)
     tokens = np.frombuffer(raw, "<u4")
-    symbols, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    if int(tokens.max()) < 1 << 22:  # count by id; sorting is for vocabularies beyond that
+        counts = np.bincount(tokens)
+        symbols = np.flatnonzero(counts)
+        counts, number = counts[symbols], np.zeros(len(counts), np.int64)
+        number[symbols] = np.arange(len(symbols))
+        inverse = number[tokens]
+    else:
+        symbols, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
     freq, scale = quantise(counts)
     start = (np.cumsum(freq) - freq).astype(np.uint64)
     f = freq.astype(np.uint64)
