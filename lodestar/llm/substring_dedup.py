@@ -8,7 +8,7 @@ sorted immutable runs: a batch is merge-joined with every run, added as a run, a
 are compacted into one. That yields the hashes that more than one batch holds. Only those are
 verified: their windows are compared by both of two independent 64-bit hashes (128 bits together),
 and of equal windows the first by (document id, start) stays. Within a batch the same comparison is
-made in place.
+made in place. :mod:`lodestar.llm.fingerprint_index` keeps such an index in a folder between calls.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: Low bits of a hash that the index leaves out; verification has them all.
 SHORT = 16
 NO_ID = np.iinfo(np.int64).max
+#: The range whose answers name a block's windows that an index of earlier calls has.
+EARLIER = -1
 
 
 class RunIndex:
@@ -103,6 +105,18 @@ class Windows:
         doc = self.doc[self.at[at]]
         return ids[doc], self.at[at] - self.b.starts[doc]
 
+    def among(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Which windows have both hashes of one of the given pairs."""
+        order = np.lexsort((h2, h1))
+        h1, h2, found = h1[order], h2[order], np.zeros(len(self.h1), bool)
+        at, left = np.searchsorted(h1, self.h1), np.arange(len(self.h1))
+        while len(left := left[at[left] < len(h1)]) and len(left := left[h1[at[left]] == self.h1[left]]):
+            same = h2[at[left]] == self.h2[left]
+            found[left[same]] = True
+            left = left[~same]
+            at[left] += 1
+        return found
+
 
 def ranges(short: np.ndarray, n: int):
     """(range, slice) of sorted short hashes for each of n equal ranges that has any."""
@@ -127,6 +141,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """
     ws = Workspace(spark, "substring")
     blocks = ws.write(token_blocks(docs, id_col, text_col, lower=False, block_tokens=block_tokens), "blocks")
+    out = kept_words(ws, blocks, width, bucket_keys)
+    ws.drop("blocks")
+    return out
+
+
+def kept_words(ws: Workspace, blocks: DataFrame, width: int, bucket_keys: int, earlier: DataFrame | None = None) -> DataFrame:
+    """Columns OUT for written token blocks. ``earlier``: (bucket = EARLIER, block, body) of hash pairs whose windows all go."""
     n = buckets_for(blocks.agg(F.sum("tokens")).first()[0] or 0, bucket_keys)
 
     def send(b: Block):
@@ -178,6 +199,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         again = w.again.copy()
         for k, at in candidates(w, got):  # the first of the block is not the first of all
             again[at] = _unflags(got[n + k])
+        if EARLIER in got:
+            again |= w.among(*unpack(got[EARLIER]))
         edge = np.zeros(len(b.toks) + 1, np.int64)
         edge[w.at[again]] += 1
         edge[w.at[again] + width] -= 1
@@ -193,8 +216,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     shared = ws.write(reduce_buckets(messages(blocks, send), match).drop("stat"), "shared")
     again = ws.write(reduce_buckets(with_answers(blocks, shared, ask, "bucket long, block long, body binary"), verify).drop("stat"), "again")
     got = shared.unionByName(again.withColumn("bucket", F.col("bucket") + n))
+    if earlier is not None:
+        got = got.unionByName(earlier)
     out = ws.write(with_answers(blocks, got, remove, OUT), "kept")
-    ws.drop("blocks", "shared", "again")
+    ws.drop("shared", "again")
     return out
 
 
