@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.tables import carry_forward, top_n
@@ -29,6 +29,25 @@ def cells(df: DataFrame, key: str) -> DataFrame:
     return df.filter(~noise).select(key, "page", "line_no", "raw_line", split.alias("cells"))
 
 
+def word_lines(words: DataFrame, keys: Sequence[str], tolerance: float = 4.0) -> DataFrame:
+    """(keys, line_no from 1, raw_line) from word boxes (x, y, word): blank words go, and a word within ``tolerance``
+    of the mean height of the line before it joins that line. A page (one value of ``keys``) bounds what a task holds.
+    """
+    boxes = words.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.trim("word").alias("word")).filter("word <> '' AND x IS NOT NULL AND y IS NOT NULL")
+    pages = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.round("y", 1).alias("r"), "x", "y", "word"))).alias("b"))
+    start = F.expr("struct(0L AS n, 0D AS y, 0L AS size, cast(array() AS array<struct<n: bigint, x: double, word: string>>) AS out)")
+
+    def step(a: Column, b: Column) -> Column:
+        same = (a["size"] > 0) & (F.abs(b["y"] - a["y"] / a["size"]) <= tolerance)
+        n = F.when(same, a["n"]).otherwise(a["n"] + 1)
+        size, total = (F.when(same, a[f] + v).otherwise(v) for f, v in (("size", F.lit(1).cast("long")), ("y", b["y"])))
+        return F.struct(n.alias("n"), total.alias("y"), size.alias("size"), F.concat(a["out"], F.array(F.struct(n.alias("n"), b["x"].alias("x"), b["word"].alias("word")))).alias("out"))
+
+    placed = pages.select(*keys, F.explode(F.aggregate("b", start, step)["out"]).alias("w")).select(*keys, "w.*")
+    rows = placed.groupBy(*keys, F.col("n").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("x", "word"))).alias("l"))
+    return rows.select(*keys, "line_no", F.array_join("l.word", " ").alias("raw_line"))
+
+
 def fields(df: DataFrame, key: str, labels: Mapping[str, str]) -> DataFrame:
     """(key, field, value, line_no): for each field the first line whose cell equals its label; the value is the cells after it."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(label.lower()).alias("label")) for f, label in labels.items()])

@@ -8,11 +8,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.functions.text import content_key, is_pdf
 from lodestar.operators.tables import upsert
+from lodestar.sources.files import append_new
 
 
-def watch(spark: SparkSession, folder: str, pattern: str = "*.pdf", per_batch: int = 1000) -> DataFrame:
-    """New valid files of a folder as a stream: path, sha256, object_key, size_bytes."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+def watch(spark: SparkSession, folder: str, pattern: str = "*.pdf", per_batch: int = 1000, archive: str | None = None) -> DataFrame:
+    """New valid files of a folder as a stream: path, sha256, object_key, size_bytes. Files that are done move to ``archive``."""
+    reader = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).schema("path string, modificationTime timestamp, length long, content binary")
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    files = reader.load(folder)
     return files.filter(is_pdf(F.col("content"))).select("path", F.sha2("content", 256).alias("sha256"), content_key(F.col("content")).alias("object_key"), F.col("length").alias("size_bytes"))
 
 
@@ -21,6 +25,15 @@ def ingest(stream: DataFrame, key: str, path: str, checkpoint: str) -> Streaming
     return stream.dropDuplicates([key]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_new(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
+    """As :func:`ingest`, without state that grows: each batch is held against the table, so a batch that runs twice adds nothing."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        append_new(batch.sparkSession, batch.dropDuplicates([key]), path, key)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def lifecycle(status: DataFrame, events: DataFrame) -> DataFrame:
     """The status table (sha256, status, at) after status events of the same columns; the latest wins."""
     return upsert(status, events, ["sha256"], "at")
