@@ -17,9 +17,9 @@ def coverage_stats(spark: SparkSession, sf: str) -> DataFrame:
     return views.coverage(table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left"), _FILLED)
 
 
-@query("SELECT DISTINCT p_name AS value, lower(trim(p_name)) = 'steel' AS exact FROM part WHERE contains(lower(p_name), 'steel') ORDER BY exact DESC, value LIMIT 6")
+@query("SELECT DISTINCT p_name AS value, lower(trim(p_name)) = 'ring' AS exact FROM part WHERE contains(lower(p_name), 'ring') ORDER BY exact DESC, value LIMIT 6")
 def suggest_names(spark: SparkSession, sf: str) -> DataFrame:
-    return views.suggest(table(spark, sf, "part"), "p_name", " STEEL ")
+    return views.suggest(table(spark, sf, "part"), "p_name", " RING ")
 
 
 _STATUS = {"O": "open", "F": "finished"}
