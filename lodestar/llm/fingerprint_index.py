@@ -88,8 +88,8 @@ class FingerprintIndex:
     def _open(self, name: str) -> tuple[str, DataFrame]:
         """A catalog name for a run's files, and the run; the name goes with :meth:`_close`, the files stay."""
         table = f"lodestar_{uuid.uuid4().hex}"
-        n = self.state["buckets"]
-        self.spark.sql(f"CREATE TABLE {table} (h1 BIGINT, h2 BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {n} BUCKETS LOCATION '{self.path}/{name}'")
+        n, place = self.state["buckets"], f"{self.path}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {table} (h1 BIGINT, h2 BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {n} BUCKETS LOCATION '{place}'")
         return table, self.spark.table(table)
 
     def _close(self, *tables: str) -> None:

@@ -66,7 +66,7 @@ def test_replay_failure_and_edges(spark, edge, empty, tmp_path, monkeypatch):
 
 
 def test_runs_are_not_shuffled(spark, tmp_path):
-    index = FingerprintIndex(spark, f"file://{tmp_path}/i", width=2, buckets=4)
+    index = FingerprintIndex(spark, f"file://{tmp_path}/it's", width=2, buckets=4)
     for k in range(2):
         df = spark.createDataFrame([(i, f"a{i} b{k} c{i}", 1) for i in range(100 if k == 0 else 10)], SCHEMA)
         index.dedup(df, str(k))
