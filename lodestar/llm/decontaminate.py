@@ -1,10 +1,10 @@
-"""Operator 5: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 5: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 The test items are a stated query set: they are taken in blocks of bounded size, and each block goes
-once over all documents. A first pass counts in how many documents each n-gram of the block occurs. Those
-that are rare, in absolute numbers or beside the item's others, are its seeds, so that an item always
-has some, however often its passage was copied. A document that holds seeds is aligned with the item around them; the score is the
-best local alignment over that of a perfect copy.
+once over all documents. Every n-gram of an item is a seed, however many documents hold it, so what is
+found in a document does not depend on the others. A document that holds a seed is aligned with the item
+around it, unless the two share too few words there to reach the threshold in any order; the score is
+the best local alignment over that of a perfect copy.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from lodestar.llm.common import slim
 
 #: Bytes of item texts in a block, about.
 BLOCK_BYTES = 1 << 20
-#: An n-gram in so many documents is rare in any corpus.
-RARE = 32
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 OUT = "doc_id long, item_id long, score double, n_seeds long"
@@ -58,6 +56,7 @@ class Items:
             if ws := words(body):
                 self.ids.append(item_id)
                 self.texts.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64))
+        self.words = [np.unique(t, return_counts=True) for t in self.texts]
         self.base = len(self.vocab) + 1
         places = defaultdict(list)
         for k, t in enumerate(self.texts):
@@ -95,58 +94,56 @@ class Items:
                 places.append(at[ok])
         return (np.concatenate(grams), np.concatenate(places)) if grams else (np.empty(0, np.int64),) * 2
 
-    def seeds(self, counts: dict[int, int]) -> np.ndarray:
-        """Which n-grams are seeds: those in RARE documents at most, or in twice the median of their item's.
+    def common(self, k: int, t: np.ndarray) -> int:
+        """How many words item ``k`` shares with ``t``, in any order: no alignment matches more."""
+        own, counts = self.words[k]
+        at = np.minimum(np.searchsorted(own, t), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == t], minlength=len(own)), counts).sum())
 
-        Half of an item's n-grams are seeds at least, so a passage that is copied everywhere keeps
-        its own; only what is common by the item's own measure is left out.
-        """
-        of = defaultdict(set)
-        for g, places in enumerate(self.places):
-            for k, _ in places:
-                of[k].add(g)
-        out = np.zeros(len(self.grams), bool)
-        for own in of.values():
-            found = np.array([counts.get(g, 0) for g in own])
-            out[np.array(list(own))[found <= max(2 * np.median(found), RARE)]] = True
-        return out
+    def scores(self, t: np.ndarray, threshold: float) -> Iterator[tuple[int, float, int]]:
+        """(item id, best score, n-grams found) of each item at or above ``threshold`` that has an n-gram in ``t``.
 
-    def scores(self, t: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, float, int]]:
-        """(item id, best score, seeds found) of each item that has a seed in ``t``."""
-        grams, places = self.hits(t)
+        An alignment that reaches the threshold has room for so many insertions only: a window that
+        wide around an n-gram holds all of it.
+        """
         starts = defaultdict(list)
-        for g, p in zip(grams[seed[grams]].tolist(), places[seed[grams]].tolist(), strict=True):
+        for g, p in zip(*(x.tolist() for x in self.hits(t)), strict=True):
             for k, at in self.places[g]:
                 starts[k].append(p - at)
         for k, found in starts.items():
             item = self.texts[k]
             m, best = len(item), 0
+            enough = threshold * MATCH * m
+            slack = max(int(MATCH * m - enough), 0) // -GAP + 1
             found.sort()
             cuts = [0, *(i for i in range(1, len(found)) if found[i] - found[i - 1] > m), len(found)]
-            slack = m // 2 + 2
             for i, j in zip(cuts, cuts[1:], strict=False):
-                best = max(best, smith_waterman(item, t[max(found[i] - slack, 0) : found[j - 1] + m + slack]))
-            yield self.ids[k], best / (MATCH * m), len(found)
+                window = t[max(found[i] - slack, 0) : found[j - 1] + m + slack]
+                if MATCH * self.common(k, window) >= enough:
+                    best = max(best, smith_waterman(item, window))
+            if best / (MATCH * m) >= threshold:
+                yield self.ids[k], best / (MATCH * m), len(found)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents that hold a test item or an edited copy: columns OUT, a row for each document row and item at or above ``threshold``.
 
+    Found are copies that keep ``n`` words of the item in a row; n_seeds counts the n-grams found.
+
     Null and empty texts and items match nothing. A null document id is returned as such; repeated
     rows are all reported. Empty tables give no rows.
     """
     texts = slim(docs, id_col, text_col)
-    out = [_report(texts, block, seeds_of(texts, block), threshold) for block in item_blocks(benchmark, item_col, item_text, n, block_bytes)]
+    out = [_report(texts, block, threshold) for block in item_blocks(benchmark, item_col, item_text, n, block_bytes)]
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], OUT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item at or above ``threshold``. Null and empty texts stay."""
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("body"))
     names, at = docs.columns, docs.columns.index(text_col)
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # a name may hold a dot
     for block in item_blocks(benchmark, item_col, item_text, n, block_bytes):
-        docs = docs.mapInArrow(_keeper(block, seeds_of(texts, block), threshold, at), docs.schema)
+        docs = docs.mapInArrow(_keeper(block, threshold, at), docs.schema)
     return docs.toDF(*names)
 
 
@@ -160,34 +157,19 @@ def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, n: int, blo
             yield block
 
 
-def _keeper(items: Items, seed: np.ndarray, threshold: float, at: int):
+def _keeper(items: Items, threshold: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            clean = [not any(s[1] >= threshold for s in items.scores(items.read((x.as_py() or "").encode()), seed)) for x in b.column(at)]
+            clean = [next(items.scores(items.read((x.as_py() or "").encode()), threshold), None) is None for x in b.column(at)]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return run
 
 
-def seeds_of(texts: DataFrame, items: Items) -> np.ndarray:
-    """The seeds of a block, from document frequencies over all texts (column body)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams), np.int64)
-        for b in batches:
-            for body in b.column(0):
-                total[np.unique(items.hits(items.read(body.as_py()))[0])] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
-
-    counted = texts.select("body").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return items.seeds({r.gram: r.n for r in counted.collect()})
-
-
-def _report(texts: DataFrame, items: Items, seed: np.ndarray, threshold: float) -> DataFrame:
+def _report(texts: DataFrame, items: Items, threshold: float) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(doc_id, *s) for doc_id, body in zip(b.column(0).to_pylist(), b.column(1), strict=True) for s in items.scores(items.read(body.as_py()), seed) if s[1] >= threshold]
+            got = [(doc_id, *s) for doc_id, body in zip(b.column(0).to_pylist(), b.column(1), strict=True) for s in items.scores(items.read(body.as_py()), threshold)]
             columns = zip(*got, strict=True) if got else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "n_seeds"])
 

@@ -55,6 +55,30 @@ def test_contaminated(spark, sf, edge, empty):
     assert dec.drop_contaminated(edge, nulls).count() == edge.count() - 1
 
 
+def edited(words, every):
+    return " ".join(w if (j + 1) % every else f"changed{j}" for j, w in enumerate(words))
+
+
+def test_contaminated_copies_of_one_edit(spark):
+    """One edited copy in 33 or 1,000 documents, and two edits of an item of unlike counts, against the alignment of all."""
+    items = {k: [f"i{k}w{j}" for j in range(size)] for k, size in enumerate((39, 45, 40, 30))}
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, text string")
+    texts = [edited(items[k], every) for k, every in enumerate((6, 5, 4))]
+    wide = " ".join(items[3][:2] + [f"x{j}" for j in range(20)] + items[3][2:])
+    for copies in (1, 33, 1000):
+        docs = [t for t in texts for _ in range(copies)] + [edited(items[0], 4)] * 40 + [wide] * copies + ["nothing of them"]
+        vocab = {}
+        want = {}
+        for t in set(docs):
+            ids = [np.array([vocab.setdefault(w, len(vocab)) for w in ws]) for ws in (t.split(), *items.values())]
+            want[t] = {k: s for k in items if (s := dec.smith_waterman(ids[k + 1], ids[0]) / (dec.MATCH * len(items[k]))) >= 0.5}
+        rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+        got = {(r.doc_id, r.item_id): r.score for r in dec.contaminated(spark, rows, bench).collect()}
+        assert got == {(i, k): s for i, t in enumerate(docs) for k, s in want[t].items()}
+        assert {r.text for r in dec.drop_contaminated(rows, bench).collect()} == {t for t in docs if not want[t]}
+        assert all(want[t] for t in (*texts, wide))
+
+
 def test_gradients():
     net = lid.BiGru(3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
