@@ -1,0 +1,130 @@
+"""Near copies by the Jaccard similarity of their shingle sets, found exactly.
+
+Two sets of similarity t share at least t of the larger one, so if both are put in one order, the first
+n - ceil(t n) + 1 shingles of each have one in common. Any order will do; shingles that a sample holds
+often come last, so that few documents meet. What meets is compared by the complete sets. Meetings go
+in two rounds: first with one document of each shingle's list, then those of documents not yet linked,
+so that a large group of copies doesn't meet in pairs.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm.common import Workspace, slim
+from lodestar.llm.components import components
+from lodestar.llm.simhash import SEED
+
+#: Documents of the sample, and its frequent shingles that are kept, at most.
+SAMPLE, FREQUENT = 16_384, 200_000
+
+
+def shingles(body: bytes | None, width: int) -> np.ndarray:
+    """The distinct XXH64 of the ``width``-word shingles, in order; fewer words make one shingle."""
+    words = (body or b"").lower().split()
+    n = max(len(words) - width + 1, 1)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n))
+
+
+def node(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of which a set of at least ``similarity`` has one among its own."""
+    weight = np.zeros(len(found), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        weight = np.where(frequent[at] == found, counts[at], 0)
+    return found[np.lexsort((found, weight))][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(body.as_py(), width).view(np.int64))], names=["h"])
+
+    parts = max(1, -(-docs.count() // SAMPLE))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
+    often = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = np.array([r.h for r in often], np.int64).view(np.uint64), np.array([r.n for r in often], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _marks(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    frequent, counts = _frequent(docs, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(x.as_py(), width) for x in b.column(1)]
+            first = pa.array([prefix(s, frequent, counts, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), first], names=["doc_id", "node", "n", "first"])
+
+    return docs.mapInArrow(run, "doc_id long, node long, n long, first array<long>")
+
+
+def _similar(docs: DataFrame, marks: DataFrame, met: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes that are similar by their complete sets."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x.as_py(), width) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "body"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    nodes = met.select(F.col("u").alias("node")).unionByName(met.select(F.col("v").alias("node"))).distinct()
+    ids = marks.select("doc_id", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    bodies = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("body").mapInArrow(sets, "node long, body binary").dropDuplicates(["node"])
+    with_u = met.join(bodies.select(F.col("node").alias("u"), F.col("body").alias("x")), "u")
+    with_both = with_u.join(bodies.select(F.col("node").alias("v"), F.col("body").alias("y")), "v").select("u", "v", "x", "y")
+    return with_both.mapInArrow(compare, "u long, v long")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row: the smallest id of the documents linked by ``similarity`` or more.
+
+    Sets are met by 64-bit hashes of their shingles. Null and empty texts are copies of one another.
+    A null id is never a component's id unless all its ids are null.
+    """
+    ws, last, docs = Workspace(spark, "near"), Workspace(spark, "near"), slim(docs, id_col, text_col)
+    marks = ws.write(_marks(docs, width, similarity), "marks")
+    lists = marks.dropDuplicates(["node"]).select("node", "n", F.explode("first").alias("h"))
+    shared = lists.groupBy("h").agg(F.min("node").alias("u"), F.count("*").alias("size")).filter("size > 1")
+    lists = ws.write(lists.join(shared, "h"), "lists")
+    near = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & (F.col("u") < F.col("v"))
+    sizes = marks.select(F.col("node").alias("u"), F.col("n").alias("m")).dropDuplicates(["u"])
+    star = lists.filter("u != node").select("u", F.col("node").alias("v"), "n").distinct().join(sizes, "u").filter(near).select("u", "v")
+    star = ws.write(_similar(docs, marks, ws.write(star, "star"), width, similarity), "linked1")
+    roots = ws.write(components(ws, star), "roots1")
+    lists = lists.select("h", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = lists.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+    lists = ws.write(lists.join(open_, "h", "left_semi"), "open")
+    a, b = lists.select("h", F.col("node").alias("u"), "n", F.col("root").alias("r")), lists.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("s"))
+    rest = ws.write(a.join(b, "h").filter(near & (F.col("r") != F.col("s"))).select("u", "v").distinct(), "rest")
+    rest = ws.write(_similar(docs, marks, rest, width, similarity), "linked2")
+    roots = components(last, star.unionByName(rest))
+    of = ws.write(marks.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "of")
+    least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = ws.write(of.join(least, "root").select("doc_id", "component_id"), "out")
+    ws.drop("marks", "lists", "star", "linked1", "roots1", "open", "rest", "linked2", "of")
+    last.drop()
+    return out

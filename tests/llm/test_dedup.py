@@ -9,10 +9,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline as cp
 from lodestar.llm import substring_dedup as sub
 from lodestar.llm.common import Workspace
 from lodestar.llm.components import components
 from lodestar.llm.exact_dedup import OpenTable, exact_dedup, grace, normalise
+from lodestar.llm.near_copies import near_copies
 from lodestar.llm.simhash import fingerprint, offsets, simhash_dedup
 
 
@@ -149,6 +151,21 @@ def test_simhash_edges(spark, edge, empty):
     assert {r.component_id for r in got if r.doc_id in (6, 7)} == {6}
 
 
+def test_near_copies(spark, texts, edge, empty):
+    """The pipeline's stage keeps what brute force over five-word sets keeps, with edits planted around similarity 0.8."""
+    r = np.random.default_rng(4)
+    base = [[f"b{k}w{j}" for j in range(60)] for k in range(4)]
+    pairs = [*texts, *((10_000 + i, " ".join(w if r.random() > 0.006 * (i % 9) else f"x{i}" for w in base[i % 4]).encode()) for i in range(120))]
+    pairs += [(20_000 + i, f"the same few words in front of all {i} {'z' * i} {i * i} q{i}".encode()) for i in range(40)]
+    lower = {i: t.lower().split() for i, t in pairs}
+    sets = {i: {tuple(ws[k : k + 5]) for k in range(max(len(ws) - 4, 1))} for i, ws in lower.items()}
+    want = brute_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    rows = spark.createDataFrame([(i, t.decode()) for i, t in pairs], "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in near_copies(spark, rows).collect()} == want
+    assert {x.doc_id for x in cp.drop_near_copies(spark, rows, "").collect()} == {i for i in want if want[i] == i}
+    assert near_copies(spark, empty).count() == 0 and near_copies(spark, edge).count() == edge.count()
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(1000, 1200)] + [(1, 100)]
     got = {r.node: r.root for r in components(Workspace(spark, "t"), spark.createDataFrame(edges, "u long, v long")).collect()}
