@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from lodestar.llm import decontaminate as dec
@@ -146,3 +147,11 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf, edge, empty):
     kept = cp.drop_copies(spark, edge, sf).collect()
     assert sorted((r.doc_id for r in kept), key=lambda i: (i is None, i)) == [1, 3, 4, 6, 8, 9, 10]
     assert {r.doc_id for r in cp.identify_language(spark, edge, sf).collect()} == {4, 5, None, 6, 7, 8, 10}
+
+
+def test_language_stage_without_labels(spark, sf, edge, empty):
+    """Where no row teaches a language, texts with a letter stay."""
+    rows = edge.withColumn("lang", F.lit(None).cast("string"))
+    out = cp.identify_language(spark, rows, sf)
+    assert out.columns == rows.columns and {r.doc_id for r in out.collect()} == {4, 5, None, 6, 7, 8, 10}
+    assert cp.identify_language(spark, empty, sf).count() == 0
