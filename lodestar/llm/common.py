@@ -7,8 +7,10 @@ driver can see, and are read back from there: a lost executor costs a re-read an
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zlib
+from types import TracebackType
 
 import numpy as np
 import zstandard
@@ -31,20 +33,56 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[app]
 
 
+class _Cleanup:
+    """Shuffle files go with the write that made them, while at least one write of a session runs."""
+
+    _lock, _running = threading.Lock(), {}
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.key = spark, id(spark._jsparkSession)
+
+    def __enter__(self) -> None:
+        with self._lock:
+            n, before = self._running.get(self.key, (0, None))
+            if not n:
+                before = self.spark.conf.get(_CLEANUP, "false")
+                self.spark.conf.set(_CLEANUP, "true")
+            self._running[self.key] = n + 1, before
+
+    def __exit__(self, *_: object) -> None:
+        with self._lock:
+            n, before = self._running.pop(self.key)
+            if n > 1:
+                self._running[self.key] = n - 1, before
+            else:
+                self.spark.conf.set(_CLEANUP, before)
+
+
 class Workspace:
-    """A folder of written intermediate tables of one operator call."""
+    """A folder of written intermediate tables of one operator call.
+
+    As a context it goes if the call fails; tables that a result still reads stay until the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        if kind:
+            self.drop()
 
     def write(self, df: DataFrame, name: str, row_group_mb: int = 16) -> DataFrame:
         """Write ``df`` as Parquet and read it back. Shuffle files of the write are removed."""
-        path, before = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        path = f"{self.root}/{name}"
+        with _Cleanup(self.spark):
             df.write.option("compression", "zstd").option("parquet.block.size", row_group_mb << 20).parquet(path)
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -100,6 +138,16 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def join_two(a: bytes, b: bytes) -> bytes:
+    """Two byte strings as one."""
+    return len(a).to_bytes(8, "little") + a + b
+
+
+def split_two(x: bytes) -> tuple[bytes, bytes]:
+    cut = 8 + int.from_bytes(x[:8], "little")
+    return x[8:cut], x[cut:]
+
+
 def pack_sorted(a: np.ndarray) -> bytes:
     """Sorted uint64 values as differences, byte plane by byte plane, so that the high planes vanish."""
     d = np.diff(a, prepend=np.uint64(0)).astype("<u8")

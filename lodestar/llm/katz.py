@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.blocks import Block, Codes, buckets_for, by_bucket, messages, reduce_buckets, token_blocks, with_answers
-from lodestar.llm.common import Workspace, crc_mod, pack, unpack
+from lodestar.llm.common import Workspace, crc_mod, join_two, pack, split_two, unpack
 
 K = 5
 HOT = 1 << 20
@@ -123,15 +123,6 @@ def word_buckets(words: list[bytes], n: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % n
 
 
-def _two(a: bytes, b: bytes) -> bytes:
-    return len(a).to_bytes(8, "little") + a + b
-
-
-def _untwo(x: bytes) -> tuple[bytes, bytes]:
-    cut = 8 + int.from_bytes(x[:8], "little")
-    return x[8:cut], x[cut:]
-
-
 def _small(c: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(c, K + 2).astype(np.int64), minlength=K + 3)[1 : K + 2].tolist()
 
@@ -158,19 +149,19 @@ def katz_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         t = Tokens(b, fold, held)
         c = t.counts()
         for bucket, at in by_bucket(word_buckets(t.words, n)):
-            yield bucket, _two(pack(c[at]), b"\n".join(t.words[i] for i in at))
+            yield bucket, join_two(pack(c[at]), b"\n".join(t.words[i] for i in at))
 
     def sum_words(bucket: int, sent: list[int], bodies: list[bytes]):
         codes, got = Codes(), []
         for body in bodies:
-            counts, words = _untwo(body)
+            counts, words = split_two(body)
             words = words.split(b"\n")
             got.append((np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), unpack(counts)[0]))
         total = np.bincount(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), len(codes)).astype(np.int64)
         for block, (idx, _) in zip(sent, got, strict=True):
             yield bucket, block, pack(idx, total[idx]), []
         if kept:
-            yield bucket, TABLE, _two(pack(total), b"\n".join(codes)), []
+            yield bucket, TABLE, join_two(pack(total), b"\n".join(codes)), []
         if BEGIN in codes:
             total[codes[BEGIN]] = 0
         yield bucket, STAT, b"", [int(total.sum()), int((total > 0).sum()), *_small(total)]

@@ -5,10 +5,12 @@ starts earlier (smaller document id, or the same document and an earlier start).
 
 Each token block is a batch. Its window hashes are cut into ranges, and each range has an index of
 sorted immutable runs: a batch is merge-joined with every run, added as a run, and runs of like size
-are compacted into one. That yields the hashes that more than one batch holds. Only those are
-verified: their windows are compared by both of two independent 64-bit hashes (128 bits together),
-and of equal windows the first by (document id, start) stays. Within a batch the same comparison is
-made in place. :mod:`lodestar.llm.fingerprint_index` keeps such an index in a folder between calls.
+are compacted into one. That yields the hashes that more than one batch holds. Only those are asked
+about again, with two hashes (96 bits together) and their places: of like windows the first by
+(document id, start) stays, and the others learn where it lies. They are verified there: the block
+that has the first window sends its words, and a window goes only if all its words are equal to them.
+Windows that repeat within a block are compared in place.
+:mod:`lodestar.llm.fingerprint_index` keeps such an index in a folder between calls.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.blocks import BLOCK_TOKENS, BUCKET_KEYS, Block, buckets_for, messages, reduce_buckets, token_blocks, with_answers
-from lodestar.llm.common import Workspace, mix, pack, pack_sorted, unpack, unpack_sorted
+from lodestar.llm.blocks import BLOCK_TOKENS, BUCKET_KEYS, Block, buckets_for, by_bucket, messages, reduce_buckets, token_blocks, with_answers
+from lodestar.llm.common import Workspace, join_two, mix, pack, pack_sorted, split_two, unpack, unpack_sorted
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: Low bits of a hash that the index leaves out; verification has them all.
@@ -105,6 +108,28 @@ class Windows:
         doc = self.doc[self.at[at]]
         return ids[doc], self.at[at] - self.b.starts[doc]
 
+    def repeats(self, width: int) -> np.ndarray:
+        """Where windows start whose words, compared one by one, an earlier window of the block has."""
+        at = np.flatnonzero(self.again)
+        if not len(at):
+            return at
+        sorted1 = self.h1[self.first]
+        k = np.searchsorted(sorted1, self.h1[at])
+        toks, here = self.b.toks, self.at[at]
+        same = np.zeros(len(at), bool)
+        left = np.arange(len(at))
+        while len(left):  # windows of one first hash lie side by side
+            there = self.at[self.first[k[left]]]
+            equal = np.ones(len(left), bool)
+            for i in range(width):
+                equal &= toks[here[left] + i] == toks[there + i]
+            same[left[equal]] = True
+            left = left[~equal]
+            k[left] += 1
+            left = left[k[left] < len(sorted1)]
+            left = left[sorted1[k[left]] == self.h1[at[left]]]
+        return here[same]
+
     def among(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Which windows have both hashes of one of the given pairs."""
         order = np.lexsort((h2, h1))
@@ -137,13 +162,46 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """Columns OUT, one row per row of ``docs``: words, words removed, SHA-256 of the kept words joined by one space.
 
     Null, empty and short texts have no windows and lose nothing. A null id ranks after all others.
-    Of rows with one id and equal windows at one start, one keeps them. Empty table: no rows.
+    Of rows with one id and equal windows at one start, one keeps them. A text longer than a block is
+    a block of its own, which one task holds (four bytes a word). Other columns are not read, whatever
+    their names. Empty table: no rows. The last pass runs when the result is read.
     """
-    ws = Workspace(spark, "substring")
-    blocks = ws.write(token_blocks(docs, id_col, text_col, lower=False, block_tokens=block_tokens), "blocks")
-    out = kept_words(ws, blocks, width, bucket_keys)
-    ws.drop("blocks")
-    return out
+    with Workspace(spark, "substring") as ws:
+        blocks = ws.write(token_blocks(docs, id_col, text_col, lower=False, block_tokens=block_tokens), "blocks")
+        return kept_words(ws, blocks, width, bucket_keys)
+
+
+class Passages:
+    """Places of windows in one block and of equal ones in another, as stretches of neighbours at one distance."""
+
+    def __init__(self, here: np.ndarray, there: np.ndarray, width: int):
+        order = np.argsort(here)
+        self.here, self.there = here[order].astype(np.int64), there[order].astype(np.int64)
+        cut = np.flatnonzero((np.diff(self.here) != 1) | (np.diff(self.there) != 1)) + 1
+        self.first = np.concatenate([[0], cut])
+        self.windows = np.diff(self.first, append=len(here))
+        self.words = self.windows + width - 1
+
+    def spread(self, starts: np.ndarray) -> np.ndarray:
+        """Positions of all words of the stretches, which begin at ``starts``."""
+        before = np.cumsum(self.words) - self.words
+        return np.repeat(starts - before, self.words) + np.arange(int(self.words.sum()))
+
+    def confirmed(self, toks: np.ndarray, others: np.ndarray, width: int) -> np.ndarray:
+        """The places here whose ``width`` words equal those there; ``others``: the words there, stretch by stretch."""
+        wrong = np.concatenate([[0], np.cumsum(toks[self.spread(self.here[self.first])] != others)])
+        at = np.repeat(np.cumsum(self.words) - self.words - self.first, self.windows) + np.arange(len(self.here))
+        return self.here[wrong[at + width] == wrong[at]]
+
+
+def _matches(got: dict[int, bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places here and there, by the block there, from what :func:`kept_words` learned for a block."""
+    parts = [unpack(body) for bucket, body in got.items() if bucket >= 0]
+    if not parts:
+        return {}
+    here = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    block, distance = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    return {k: (here[at], here[at] + distance[at]) for k, at in by_bucket(block.astype(np.int64))}
 
 
 def kept_words(ws: Workspace, blocks: DataFrame, width: int, bucket_keys: int, earlier: DataFrame | None = None) -> DataFrame:
@@ -156,71 +214,102 @@ def kept_words(ws: Workspace, blocks: DataFrame, width: int, bucket_keys: int, e
             yield k, pack_sorted(short[at])
 
     def match(bucket: int, sent: list[int], bodies: list[bytes]):
-        index, hits, runs = RunIndex(), [], [unpack_sorted(x) for x in bodies]
-        for run in runs:
-            hits.append(index.add(run))
+        index, hits = RunIndex(), []
+        for body in bodies:
+            hits.append(index.add(unpack_sorted(body)))
         shared = np.unique(np.concatenate(hits))
-        for block, run in zip(sent, runs, strict=True):
+        del index, hits
+        for block, body in zip(sent, bodies, strict=True):
+            run = unpack_sorted(body)
             at = np.minimum(np.searchsorted(shared, run), max(len(shared) - 1, 0))
             yield bucket, block, _flags(shared[at] == run if len(shared) else np.zeros(len(run), bool)), []
 
-    def candidates(w: Windows, got: dict[int, bytes]):
-        """(range, positions in w) of first windows whose short hash other blocks have too."""
+    def ask(b: Block, got: dict[int, bytes]) -> pa.Table:
+        w = Windows(b, width)
         shared = np.zeros(len(w.short), bool)
         for k, at in ranges(w.short, n):
             shared[at] = _unflags(got[k])
         hit = shared[w.number]
-        rows = w.first[hit]
-        return [(k, rows[at]) for k, at in ranges(w.short_of_first[hit], n)]
-
-    def ask(b: Block, got: dict[int, bytes]) -> pa.Table:
-        w = Windows(b, width)
-        out = []
-        for k, at in candidates(w, got):
+        rows, out = w.first[hit], []
+        for k, span in ranges(w.short_of_first[hit], n):
+            at = rows[span]
             ids, start = w.place(at)
-            out.append((k, pack(np.diff(w.h1[at], prepend=np.uint64(0)), w.h2[at], ids.view(np.uint64), start)))
+            out.append((k, pack(np.diff(w.h1[at], prepend=np.uint64(0)), w.h2[at] >> np.uint64(32), ids.view(np.uint64), start, w.at[at])))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([b.block] * len(out), pa.int64()), "body": pa.array([x[1] for x in out], pa.binary())})
 
-    def verify(bucket: int, sent: list[int], bodies: list[bytes]):
-        got = [unpack(x) for x in bodies]
-        h1 = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-        h2, ids, start = (np.concatenate([g[i] for g in got]) for i in (1, 2, 3))
+    def find_first(bucket: int, sent: list[int], bodies: list[bytes]):
+        h1, h2, ids, start, at = [], [], [], [], []
+        for body in bodies:
+            for x, y in zip((h1, h2, ids, start, at), unpack(body), strict=True):
+                x.append(y.astype(np.uint32) if x is h2 or x is at else y)
+            h1[-1] = np.cumsum(h1[-1], dtype=np.uint64)
+        sizes = [len(x) for x in at]
+        h1, h2, ids, start, at = (np.concatenate(x) for x in (h1, h2, ids, start, at))
         order = np.lexsort((start, ids.view(np.int64), h2, h1))
-        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-        again = np.zeros(len(order), bool)
-        again[order[1:][same]] = True
-        at = 0
-        for block, g in zip(sent, got, strict=True):
-            yield bucket, block, _flags(again[at : at + len(g[0])]), []
-            at += len(g[0])
+        del ids, start
+        new = np.concatenate([[True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)])
+        del h1, h2
+        first = np.empty(len(order), np.int64)
+        first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        del order, new
+        source = np.repeat(np.arange(len(sent)), sizes)
+        blocks_, end = np.array(sent, np.int64), 0
+        for block, size in zip(sent, sizes, strict=True):
+            mine = np.arange(end, end := end + size)
+            mine = mine[first[mine] != mine]
+            mine = mine[np.argsort(at[mine])]
+            there = first[mine]
+            here = at[mine].astype(np.uint64)
+            yield bucket, block, pack(np.diff(here, prepend=np.uint64(0)), blocks_[source[there]].view(np.uint64), at[there].astype(np.uint64) - here), []
+
+    def request(b: Block, got: dict[int, bytes]) -> pa.Table:
+        out = [(k, Passages(*x, width)) for k, x in _matches(got).items()]
+        return pa.table({"bucket": pa.array([k for k, _ in out], pa.int64()), "block": pa.array([b.block] * len(out), pa.int64()), "body": pa.array([pack(p.there[p.first], p.windows) for _, p in out], pa.binary())})
+
+    def reply(b: Block, got: dict[int, bytes]) -> pa.Table:
+        out, words = [], np.array([*b.vocab, b""], object)
+        for asker, body in got.items():
+            there, windows = (x.astype(np.int64) for x in unpack(body))
+            n_words = windows + width - 1
+            at = np.repeat(there - (np.cumsum(n_words) - n_words), n_words) + np.arange(int(n_words.sum()))
+            codes, short = np.unique(b.toks[at], return_inverse=True)
+            out.append((-2 - b.block, asker, join_two(pack(short), zstandard.ZstdCompressor(level=1).compress(b"\n".join(words[codes].tolist())))))
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.int64()), "body": pa.array([x[2] for x in out], pa.binary())})
 
     def remove(b: Block, got: dict[int, bytes]) -> pa.Table:
         w = Windows(b, width)
-        again = w.again.copy()
-        for k, at in candidates(w, got):  # the first of the block is not the first of all
-            again[at] = _unflags(got[n + k])
+        gone = [w.repeats(width)]
         if EARLIER in got:
-            again |= w.among(*unpack(got[EARLIER]))
+            gone.append(w.at[w.among(*unpack(got[EARLIER]))])
+        del w
+        code = {x: i for i, x in enumerate(b.vocab)}
+        for k, places in _matches(got).items():
+            short, theirs = split_two(got[-2 - k])
+            theirs = np.array([code.get(x, -1) for x in zstandard.ZstdDecompressor().decompress(theirs).split(b"\n")], np.int64)
+            gone.append(Passages(*places, width).confirmed(b.toks, theirs[unpack(short)[0].astype(np.int64)], width))
+        del code
+        at = np.unique(np.concatenate(gone))
         edge = np.zeros(len(b.toks) + 1, np.int64)
-        edge[w.at[again]] += 1
-        edge[w.at[again] + width] -= 1
+        edge[at] += 1
+        edge[at + width] -= 1
         keep = np.cumsum(edge)[:-1] == 0
-        words = np.array(b.vocab, object)
-        sha, gone = [], []
+        words = np.array([*b.vocab, b""], object)
+        sha, lost = [], []
         for i, j in zip(b.starts[:-1], b.starts[1:], strict=True):
             kept = b.toks[i:j][keep[i:j]]
-            gone.append(int(j - i - len(kept)))
+            lost.append(int(j - i - len(kept)))
             sha.append(hashlib.sha256(b" ".join(words[kept].tolist()) if len(kept) else b"").hexdigest())
-        return pa.table({"doc_id": pa.array(b.doc_id, pa.int64()), "n_words": pa.array(b.n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
-
-    shared = ws.write(reduce_buckets(messages(blocks, send), match).drop("stat"), "shared")
-    again = ws.write(reduce_buckets(with_answers(blocks, shared, ask, "bucket long, block long, body binary"), verify).drop("stat"), "again")
-    got = shared.unionByName(again.withColumn("bucket", F.col("bucket") + n))
+        return pa.table({"doc_id": pa.array(b.doc_id, pa.int64()), "n_words": pa.array(b.n, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+
+    message = "bucket long, block long, body binary"
+    shared = reduce_buckets(messages(blocks, send), match).drop("stat")
+    firsts = ws.write(reduce_buckets(with_answers(blocks, shared, ask, message), find_first).drop("stat"), "firsts")
+    requests = with_answers(blocks, firsts, request, message)
+    replies = with_answers(blocks, requests.select(F.col("bucket").alias("block"), F.col("block").alias("bucket"), "body"), reply, message)
+    got = firsts.unionByName(replies)
     if earlier is not None:
         got = got.unionByName(earlier)
-    out = ws.write(with_answers(blocks, got, remove, OUT), "kept")
-    ws.drop("shared", "again")
-    return out
+    return with_answers(blocks, got, remove, OUT)
 
 
 ORACLE = """
