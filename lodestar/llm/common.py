@@ -10,11 +10,13 @@ import tempfile
 import threading
 import uuid
 import zlib
+from functools import reduce
+from operator import and_
 from types import TracebackType
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -70,6 +72,7 @@ class Workspace:
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(path)
         files.deleteOnExit(path)
+        self.rounds: list[str] = []
 
     def __enter__(self) -> Workspace:
         return self
@@ -85,6 +88,11 @@ class Workspace:
             df.write.option("compression", "zstd").option("parquet.block.size", row_group_mb << 20).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def round(self, name: str) -> str:
+        """A new name for a table of an iteration, kept in ``rounds``."""
+        self.rounds.append(f"{name}{len(self.rounds)}")
+        return self.rounds[-1]
+
     def drop(self, *names: str) -> None:
         """Delete tables that are no longer needed (all: no name)."""
         jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -93,6 +101,40 @@ class Workspace:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+#: Keys whose rows are joined by broadcast, at most.
+HOT_KEYS = 50_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, *on: Column, size: str | None = None) -> DataFrame:
+    """``left`` (a) joined with ``right`` (b), which has one row for each ``key``; rows of hot keys stay where they are.
+
+    A key is hot if it has more than a share of 1 / HOT_KEYS of all rows of ``left``, so that there are
+    HOT_KEYS at most: only their rows of ``right`` are broadcast. ``size``: a column of ``right`` with
+    the number of the key's rows in ``left``; it is counted if there is none. Null keys join nothing.
+    """
+    total = F.sum(size) if size else F.lit(None)
+    if size is None:
+        counts = left.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows"))
+        right = right.join(counts, F.col(key) == F.col("__key")).drop("__key")
+        size, total = "__rows", F.sum("__rows")
+    least = max((right.agg(total).first()[0] or 0) // HOT_KEYS, 1000)
+    hot = F.col(size) > least
+    hot_keys = F.broadcast(right.filter(hot))
+    met = left.alias("a").join(hot_keys.alias("b"), reduce(and_, on))
+    cold = left.join(F.broadcast(right.filter(hot).select(F.col(key).alias("__hot"))), F.col(key) == F.col("__hot"), "left_anti")
+    rest = cold.alias("a").join(right.filter(~hot).alias("b"), reduce(and_, on))
+    return _union_joined(met, rest, left.columns, right.columns)
+
+
+def _union_joined(one: DataFrame, two: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """The union of two joins of the aliases a and b, again with those aliases as structs."""
+
+    def packed(df: DataFrame) -> DataFrame:
+        return df.select(F.struct(*[F.col(f"a.`{c}`") for c in left]).alias("a"), F.struct(*[F.col(f"b.`{c}`") for c in right]).alias("b"))
+
+    return packed(one).unionByName(packed(two))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

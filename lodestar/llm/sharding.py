@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import Workspace
 
 OVERHEAD = 16
-#: Ranges of ids into which ranks are divided: cells per shard, and parts of a group or of the order.
-CELLS, PARTS = 1000, 4096
+#: Cells of the raster per shard, and rows of a part into which the order of ids is divided.
+CELLS, PART_ROWS = 1000, 1 << 17
 
 
 class Boundaries:
@@ -98,63 +98,63 @@ def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int) -> li
         spans, width = brackets(b, low, high, shards), max(width // 32, 1)
 
 
-def minimax_shards(spark: SparkSession, docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def minimax_shards(spark: SparkSession, docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null) for every row of ``docs``.
 
-    ``size`` is the text's UTF-8 bytes plus 16; a null text has no bytes and goes with the empty ones.
-    Slots count from 0 in a shard, by group and then id (a null id first, repeated rows in any order).
-    Empty table: no rows.
+    ``size`` is the text's UTF-8 bytes plus 16, however long; a null text has no bytes and goes with the
+    empty ones. Slots count from 0 in a shard, by group and then id. A null id comes before all others,
+    and so does a group that has one; repeated rows come in any order. Ids may be any long values.
+    Only the two named columns are read, so names of others can't clash. Empty table: no rows.
     """
-    ws = Workspace(spark, "shards")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("g"))
-    rows = ws.write(rows, "rows")
-    ids = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum("size")).first()
-    step = max(-(-((ids[1] or 0) - (ids[0] or 0) + 1) // PARTS), 1)
-    part = F.coalesce(F.floor((F.col("doc_id") - F.lit(ids[0] or 0)) / F.lit(step)), F.lit(-1)).cast("int")
-    pieces = ws.write(rows.groupBy("g", part.alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("doc_id").alias("least")), "pieces")
-    groups = pieces.groupBy("g").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("least").alias("least"))
-    groups = ws.write(groups.withColumn("part", F.coalesce(F.floor((F.col("least") - F.lit(ids[0] or 0)) / F.lit(step)), F.lit(-1)).cast("int")), "groups")
-
-    left, own = ids[2] or 0, []
-    big = groups.orderBy(F.desc("bytes"), "g").limit(shards).select("g", "bytes").collect()
-    for r in big:
-        if len(own) + 1 < shards and r.bytes * (shards - len(own)) > left:
-            own.append(bytes(r.g))
-            left -= r.bytes
-    alone = F.lit(None).cast("int")
-    for k, g in enumerate(own):
-        alone = F.when(F.col("g") == F.lit(g), k).otherwise(alone)
-    groups = groups.withColumn("alone", alone)
-
-    # Positions in bytes and rows: sums by part of the order (PARTS rows), then within a part.
-    shared = groups.filter(F.col("alone").isNull())
-    parts = shared.groupBy("part").agg(F.sum("bytes").alias("b"), F.sum("n").alias("r"))
-    over = Window.orderBy("part")
-    parts = parts.select("part", (F.sum("b").over(over) - F.col("b")).alias("b0"), (F.sum("r").over(over) - F.col("r")).alias("r0"))
-    within = Window.partitionBy("part").orderBy("least", "g")
-    placed = shared.join(parts, "part").select("g", (F.col("b0") + F.sum("bytes").over(within)).alias("byte_end"), (F.col("r0") + F.sum("n").over(within) - F.col("n")).alias("row_start"), "bytes")
-    placed = ws.write(placed, "placed")
-    largest = placed.agg(F.max("bytes")).first()[0] or 0
-    cuts = minimax_cuts(placed, left, largest, shards - len(own)) if largest else []
-
-    below = F.lit(len(own))
-    for c in cuts[:-1]:
-        below = below + (F.col("byte_end") > c).cast("int")
-    placed = placed.select("g", below.alias("shard"), "row_start")
-    firsts = {r.shard: r.first for r in placed.groupBy("shard").agg(F.min("row_start").alias("first")).collect()}
-    first = F.lit(0).cast("long")
-    for k, v in firsts.items():
-        first = F.when(F.col("shard") == k, F.lit(v)).otherwise(first)
-    placed = placed.select("g", "shard", (F.col("row_start") - first).alias("base"))
-    placed = placed.unionByName(groups.filter(F.col("alone").isNotNull()).select("g", F.col("alone").alias("shard"), F.lit(0).cast("long").alias("base")))
-
-    # Rank within a group: rows in earlier id ranges, then the rank within the range.
-    ahead = F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")
-    bases = pieces.select("g", "part", ahead.alias("ahead")).join(placed, "g").select("g", "part", "shard", (F.col("base") + F.col("ahead")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("g", "part").orderBy("doc_id")) - 1
-    out = rows.withColumn("part", part).withColumn("rank", rank).join(bases, ["g", "part"])
-    out = out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    out = ws.write(out, "out")
-    ws.drop("rows", "pieces", "groups", "placed")
+    with Workspace(spark, "shards") as ws:
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("g"), F.monotonically_increasing_id().alias("pos"))
+        # Parts of the order of ids with about equally many rows, by the sampled bounds of a range exchange.
+        rows = ws.write(rows, "unsorted")
+        parts = max(8, -(-rows.count() // part_rows))
+        rows = ws.write(rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.asc("pos")).withColumn("part", F.spark_partition_id()), "rows")
+        pieces = ws.write(rows.groupBy("g", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min(F.struct("doc_id", "pos")).alias("least")), "pieces")
+        groups = ws.write(pieces.groupBy("g").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("least").alias("least"), F.min("part").alias("part")), "groups")
+
+        left, own = groups.agg(F.sum("bytes")).first()[0] or 0, []
+        big = groups.orderBy(F.desc("bytes"), "g").limit(shards).select("g", "bytes").collect()
+        for r in big:
+            if len(own) + 1 < shards and r.bytes * (shards - len(own)) > left:
+                own.append(bytes(r.g))
+                left -= r.bytes
+        alone = F.lit(None).cast("int")
+        for k, g in enumerate(own):
+            alone = F.when(F.col("g") == F.lit(g), k).otherwise(alone)
+        groups = groups.withColumn("alone", alone)
+
+        # Positions in bytes and rows: sums by part of the order, then within a part.
+        shared = groups.filter(F.col("alone").isNull())
+        sums = shared.groupBy("part").agg(F.sum("bytes").alias("b"), F.sum("n").alias("r"))
+        over = Window.orderBy("part")
+        sums = sums.select("part", (F.sum("b").over(over) - F.col("b")).alias("b0"), (F.sum("r").over(over) - F.col("r")).alias("r0"))
+        within = Window.partitionBy("part").orderBy("least", "g")
+        placed = shared.join(sums, "part").select("g", (F.col("b0") + F.sum("bytes").over(within)).alias("byte_end"), (F.col("r0") + F.sum("n").over(within) - F.col("n")).alias("row_start"), "bytes")
+        placed = ws.write(placed, "placed")
+        largest = placed.agg(F.max("bytes")).first()[0] or 0
+        cuts = minimax_cuts(placed, left, largest, shards - len(own)) if largest else []
+
+        below = F.lit(len(own))
+        for c in cuts[:-1]:
+            below = below + (F.col("byte_end") > c).cast("int")
+        placed = placed.select("g", below.alias("shard"), "row_start")
+        firsts = {r.shard: r.first for r in placed.groupBy("shard").agg(F.min("row_start").alias("first")).collect()}
+        first = F.lit(0).cast("long")
+        for k, v in firsts.items():
+            first = F.when(F.col("shard") == k, F.lit(v)).otherwise(first)
+        placed = placed.select("g", "shard", (F.col("row_start") - first).alias("base"))
+        placed = placed.unionByName(groups.filter(F.col("alone").isNotNull()).select("g", F.col("alone").alias("shard"), F.lit(0).cast("long").alias("base")))
+
+        # Rank within a group: rows in earlier parts, then the rank within the part.
+        ahead = F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")
+        bases = pieces.select("g", "part", ahead.alias("ahead")).join(placed, "g").select("g", "part", "shard", (F.col("base") + F.col("ahead")).alias("base"))
+        rank = F.row_number().over(Window.partitionBy("g", "part").orderBy(F.asc_nulls_first("doc_id"), "pos")) - 1
+        out = rows.withColumn("rank", rank).join(bases, ["g", "part"])
+        out = out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        out = ws.write(out, "out")
+        ws.drop("unsorted", "rows", "pieces", "groups", "placed")
     return out

@@ -123,8 +123,8 @@ def test_pipeline(spark, sf):
     docs = [(i, t) for i, t in docs if any(c.isalpha() for c in t or "")]
     kept = {r[0] for r in brute_exact(docs) if r[3]}
     docs = [(i, t) for i, t in docs if i in kept]
-    fps = {i: fingerprint(t.encode()) for i, t in docs}
-    root = brute_components(fps, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    sets = {i: {tuple(ws[k : k + 5]) for k in range(max(len(ws) - 4, 1))} for i, ws in ((i, t.lower().split()) for i, t in docs)}
+    root = brute_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     docs = [(i, t) for i, t in docs if root[i] == i]
     items = [dec.words(r.text.encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
 

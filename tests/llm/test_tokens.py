@@ -242,3 +242,21 @@ def test_sharding_edges(spark, edge, empty):
     got = sharding.minimax_shards(spark, edge, 3).collect()
     assert len(got) == edge.count() and len({r.shard for r in got if r.doc_id in (6, 7)}) == 1
     assert {r.size for r in got if r.doc_id in (1, 2)} == {16}
+
+
+@pytest.mark.parametrize("part_rows", [7, 1 << 17])
+def test_sharding_of_any_ids(spark, part_rows):
+    """Ids from end to end of a long, one far from the others, and a hot text: one shard law for all, slots in the order of ids."""
+    ids = [-(1 << 63), *range(-20, 20), 5, 5, None, None, 6 * 10**18, (1 << 63) - 1]
+    rows = [(i, "hot" if k % 3 == 0 else f"text {k}") for k, i in enumerate(ids)]
+    got = sharding.minimax_shards(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, part_rows=part_rows).collect()
+    assert sorted((r.doc_id for r in got), key=lambda i: (i is not None, i)) == sorted(ids, key=lambda i: (i is not None, i))
+    hot = [r for r in got if r.text_crc32 == zlib.crc32(b"hot")]
+    assert len({r.shard for r in hot}) == 1
+    for shard in {r.shard for r in got}:
+        rs = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in rs] == list(range(len(rs)))
+    order = [r.doc_id for r in sorted(hot, key=lambda r: r.slot)]
+    assert order == sorted(order, key=lambda i: (i is not None, i))
+    singles = sorted((r for r in got if r not in hot), key=lambda r: (r.doc_id is not None, r.doc_id))
+    assert [r.shard for r in singles] == sorted(r.shard for r in singles)
