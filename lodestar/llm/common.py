@@ -105,19 +105,14 @@ class Workspace:
 HOT_KEYS = 50_000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, *on: Column, size: str | None = None) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, *on: Column, size: str) -> DataFrame:
     """``left`` (a) joined with ``right`` (b), which has one row for each ``key``; rows of hot keys stay where they are.
 
     A key is hot if it has more than a share of 1 / HOT_KEYS of all rows of ``left``, so that there are
-    HOT_KEYS at most: only their rows of ``right`` are broadcast. ``size``: a column of ``right`` with
-    the number of the key's rows in ``left``; it is counted if there is none. Null keys join nothing.
+    HOT_KEYS at most: only their rows of ``right`` are broadcast. ``size``: the column of ``right`` with
+    the number of the key's rows in ``left``. Null keys join nothing.
     """
-    total = F.sum(size) if size else F.lit(None)
-    if size is None:
-        counts = left.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows"))
-        right = right.join(counts, F.col(key) == F.col("__key")).drop("__key")
-        size, total = "__rows", F.sum("__rows")
-    least = max((right.agg(total).first()[0] or 0) // HOT_KEYS, 1000)
+    least = max((right.agg(F.sum(size)).first()[0] or 0) // HOT_KEYS, 1000)
     hot = F.col(size) > least
     hot_keys = F.broadcast(right.filter(hot))
     met = left.alias("a").join(hot_keys.alias("b"), reduce(and_, on))
