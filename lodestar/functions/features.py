@@ -17,6 +17,11 @@ def number(c: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def number_or_zero(c: Column) -> Column:
+    """A double, 0 if the text is none, NULL or NaN."""
+    return F.coalesce(number(c), F.lit(0.0))
+
+
 def rounded(c: Column, digits: int = 0) -> Column:
     """Half to even on the scaled value; the same in both engines."""
     return F.rint(c * F.lit(10.0**digits)) / F.lit(10.0**digits)
@@ -88,9 +93,7 @@ def city(address: Column, cities: Sequence[str] = tuple(V.CITIES)) -> Column:
 
 
 def governorate(c: Column) -> Column:
-    pairs = {town: g for g, towns in V.GOVERNORATE_CITIES.items() for town in towns}
-    own = {town: town for town in V.CITIES if town not in pairs}
-    table = F.create_map(*[F.lit(x) for kv in (own | pairs).items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in V.CITY_GOVERNORATE.items() for x in kv])
     return F.coalesce(F.try_element_at(table, c), F.lit("Unknown"))
 
 
@@ -110,7 +113,7 @@ def company_size(form: Column, tier: Column, category: Column) -> Column:
 
 def business_model(activity: Column) -> Column:
     b, c = T.any_keyword(activity, V.B2B), T.any_keyword(activity, V.B2C)
-    return F.when(b & c, "mixed").when(b, "b2b").when(c, "b2c").otherwise("unknown")
+    return F.when(b & c, "mixed").when(b, "B2B").when(c, "B2C").otherwise("unknown")
 
 
 def international(*cols: Column) -> Column:

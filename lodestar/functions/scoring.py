@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestar.functions import values as V
-from lodestar.functions.features import number, rounded
+from lodestar.functions.features import number, number_or_zero, rounded
 from lodestar.functions.text import blank_to_null
 
 
 def factor(c: Column, table: Mapping[str, float], default: float) -> Column:
-    out = F.lit(default)
-    for k, v in table.items():
-        out = F.when(F.lower(F.trim(c)) == k, F.lit(v)).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, F.lower(F.trim(c))), F.lit(default))
 
 
 def weighted(terms: Mapping[str, Column], weights: Mapping[str, float]) -> tuple[Column, Column]:
@@ -31,7 +31,7 @@ def flag(c: Column) -> Column:
 
 
 def firmographic_value(sector: Column, tier: Column, size: Column, need: Column, multisite: Column, b2b: Column, international: Column) -> tuple[Column, Column]:
-    terms = {"sector": factor(sector, V.SECTOR_PROPENSITY, 0.5), "tier": factor(tier, V.TIER_FACTOR, 0.3), "size": factor(size, V.SIZE_FACTOR, 0.35), "need": factor(need, V.NEED_FACTOR, 0.4), "multisite": flag(multisite), "b2b": flag(b2b), "international": flag(international)}
+    terms = {"sector_propensity": factor(sector, V.SECTOR_PROPENSITY, 0.5), "capital_tier": factor(tier, V.TIER_FACTOR, 0.3), "company_size": factor(size, V.SIZE_FACTOR, 0.35), "connectivity_need": factor(need, V.NEED_FACTOR, 0.4), "multisite": flag(multisite), "b2b": flag(b2b), "international": flag(international)}
     return weighted(terms, V.VALUE_WEIGHTS)
 
 
@@ -44,7 +44,21 @@ def prominence(rating: Column, reviews: Column) -> Column:
 
 def listing_value(sector: Column, rating: Column, reviews: Column, website: Column) -> tuple[Column, Column]:
     digital = F.when(blank_to_null(website).isNotNull(), 1.0).otherwise(0.3)
-    return weighted({"sector": factor(sector, V.SECTOR_PROPENSITY, 0.5), "prominence": prominence(rating, reviews), "digital": digital}, V.LISTING_WEIGHTS)
+    return weighted({"sector_propensity": factor(sector, V.SECTOR_PROPENSITY, 0.5), "prominence": prominence(rating, reviews), "digital": digital}, V.LISTING_WEIGHTS)
+
+
+def listing_sector(*texts: Column) -> Column:
+    """The first sector of which a keyword is in the texts, together in lower case; else others."""
+    text = F.lower(F.concat_ws(" ", *texts))
+    out = F.lit("others")
+    for sector, keywords in reversed(V.LISTING_SECTORS):
+        out = F.when(reduce(or_, [text.contains(k) for k in keywords]), sector).otherwise(out)
+    return out
+
+
+def value_potential(tier: Column, size: Column, firmographic: Column, listing: Column) -> Column:
+    """The firmographic value if the tier or the size is given ("unknown" counts as given), else that of the listing."""
+    return F.when(blank_to_null(tier).isNotNull() | blank_to_null(size).isNotNull(), firmographic).otherwise(listing)
 
 
 def reachability(phone: Column, website: Column, email: Column) -> Column:
@@ -52,9 +66,10 @@ def reachability(phone: Column, website: Column, email: Column) -> Column:
 
 
 def readiness(reach: Column, digital: Column, recent: Column, active: Column, confidence: Column) -> tuple[Column, Column]:
-    """A confidence of zero counts as one half."""
-    sure = F.when(F.coalesce(confidence, F.lit(0.0)) == 0, 0.5).otherwise(confidence)
-    terms = {"reach": reach, "digital": factor(digital, V.DIGITAL_FACTOR, 0.3), "recency": F.when(recent, 1.0).otherwise(0.35), "prominence": active, "confidence": sure}
+    """A confidence of zero counts as one half; beyond [0, 1] it is cut."""
+    given = number_or_zero(confidence)
+    sure = F.least(F.greatest(F.when(given == 0, 0.5).otherwise(given), F.lit(0.0)), F.lit(1.0))
+    terms = {"reachability": reach, "digital": factor(digital, V.DIGITAL_FACTOR, 0.3), "recency": F.when(recent, 1.0).otherwise(0.35), "maps_activity": active, "confidence": sure}
     return weighted(terms, V.READINESS_WEIGHTS)
 
 

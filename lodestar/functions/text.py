@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,13 +20,17 @@ ARABIC = "؀-ۿ"
 _TASHKEEL = "[ً-ْـ]"
 
 
-def _accents() -> tuple[str, str]:
-    """Precomposed Latin letters and their base letters, by decomposition."""
-    pairs = [(c, d[0]) for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c)) > 1 and d[0].isascii()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _accents() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters that decompose to one ASCII letter, those letters, and those that decompose to several."""
+    one, several = [], []
+    for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and plain.isascii() and plain.strip():
+            (one if len(plain) == 1 else several).append((c, plain))
+    return "".join(a for a, _ in one), "".join(b for _, b in one), [p for p in several if p[1].isalpha()]
 
 
-ACCENTED, PLAIN = _accents()
+ACCENTED, PLAIN, LIGATURES = _accents()
 
 
 def text(c: Column) -> Column:
@@ -38,7 +43,24 @@ def blank_to_null(c: Column, tokens: Sequence[str] = MISSING) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}", "")
+    """Letters without marks, ligatures and full-width forms as plain letters."""
+    c = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}", "")
+    several = c.rlike("[" + "".join(a for a, _ in LIGATURES) + "]")
+    plain = c
+    for a, b in LIGATURES:
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    return F.when(several, plain).otherwise(c)
+
+
+def nfkc_clean(c: Column) -> Column:
+    """Compatibility-composed text without direction marks, white space as single spaces, trimmed; NULL stays."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    ascii_only = c.rlike(r"^[\x00-\x7F]*$")  # nothing to compose: those stay on the JVM
+    composed = F.when(ascii_only, c).otherwise(F.pandas_udf(run, "string")(F.when(~ascii_only, c)))
+    return F.trim(F.regexp_replace(F.regexp_replace(composed, "[\u200e\u200f]", ""), r"[\s\u00a0]+", " "))
 
 
 def normalize(c: Column) -> Column:

@@ -14,10 +14,14 @@ from lodestar.operators.tables import top_n
 
 
 def _ratio(a: str, b: str) -> float:
+    """The best of the texts as they are and of the common words against each text's words, all sorted."""
+    if not (a and b):
+        return 0.0
     x, y = set(a.split()), set(b.split())
-    both = " ".join(sorted(x & y))
-    one, two = (f"{both} {' '.join(sorted(s - (x & y)))}".strip() for s in (x, y))
-    return max(SequenceMatcher(None, p, q).ratio() for p, q in ((both, one), (both, two), (a, b))) if a and b else 0.0
+    pairs = [(a, b)]
+    if x & y:
+        pairs += [(" ".join(sorted(x & y)), " ".join(sorted(s))) for s in (x, y)]
+    return max(SequenceMatcher(None, *p).ratio() for p in pairs)
 
 
 def token_similarity(a: Column, b: Column) -> Column:
@@ -39,6 +43,18 @@ def overlap(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), F.lit(False))
 
 
+def locality(*pairs: tuple[Column, Column]) -> Column:
+    """Half a point for each pair of place names of which one holds the other, whatever the case."""
+    return F.least(sum((F.when(overlap(F.lower(x), F.lower(y)), 0.5).otherwise(0.0) for x, y in pairs), F.lit(0.0)), F.lit(1.0))
+
+
+def pair_score(name: Column, local: Column, phone_a: Column, phone_b: Column) -> Column:
+    """The weighted score of a pair: names, places, and equal known phone numbers."""
+    w = V.MATCH_WEIGHTS
+    phone = F.when((phone_a != "") & (phone_a == phone_b), 1.0).otherwise(0.0)
+    return w[0] * name + w[1] * local + w[2] * phone
+
+
 def best_matches(left: DataFrame, right: DataFrame, score: Column, left_id: str, right_id: str, block: str = "block") -> DataFrame:
     """(left_id, right_id, score): the best right row of each left row in its block; ties to the smaller right id, scores of zero never."""
     pairs = left.filter(F.col(block) != "").join(right.filter(F.col(block) != ""), block).select(left_id, right_id, score.alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from lodestar.functions.features import rounded
 
 
+#: Values that more than one row in so many has are joined by broadcast; there can't be more of them.
+HOT_VALUES = 10_000
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key; ``order`` must be total. Spark prunes groups before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -19,20 +23,26 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
 
 
 def percentile(df: DataFrame, col: str, out: str, digits: int = 1) -> DataFrame:
-    """Average-tie percent rank times 100 of a non-null column.
+    """Average-tie percent rank times 100; a missing value or NaN ranks as 0.
 
-    Ranks come from counts of distinct values in two steps, sums by range of values and then within a
-    range, so no task orders the whole table.
+    Ranks come from counts of distinct values in two steps: sums by range of values, whose bounds are
+    sampled so that each holds about as many, and then within a range; no task orders the whole
+    table. The ranks are joined back by value: values that very many rows share are broadcast, a
+    bounded number of them.
     """
-    counts = df.groupBy(col).agg(F.count("*").alias("__n"))
-    stats = counts.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"), F.sum("__n").alias("__all"))
-    part = F.floor((F.col(col) - F.col("__lo")) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1) * 999)
-    counts = counts.join(F.broadcast(stats)).withColumn("__part", part)
+    value = F.coalesce(F.when(~F.isnan(F.col(col).cast("double")), F.col(col).cast("double")), F.lit(0.0))
+    df = df.withColumn("__v", value)
+    counts = df.groupBy("__v").agg(F.count("*").alias("__n")).repartitionByRange(F.col("__v")).withColumn("__part", F.spark_partition_id())
     parts = counts.groupBy("__part").agg(F.sum("__n").alias("__t"))
-    parts = parts.select("__part", (F.sum("__t").over(Window.orderBy("__part")) - F.col("__t")).alias("__before"))
-    within = F.sum("__n").over(Window.partitionBy("__part").orderBy(col)) - F.col("__n")
-    ranks = counts.join(F.broadcast(parts), "__part").select(F.col(col).alias("__v"), rounded((F.col("__before") + within + (F.col("__n") + 1) / 2.0) / F.col("__all") * 100.0, digits).alias(out))
-    return df.join(ranks, F.col(col) == F.col("__v")).drop("__v")
+    parts = parts.select(F.col("__part").alias("__p"), (F.sum("__t").over(Window.orderBy("__part")) - F.col("__t")).alias("__before"), F.sum("__t").over(Window.partitionBy()).alias("__all"))
+    within = F.sum("__n").over(Window.partitionBy("__part").orderBy("__v")) - F.col("__n")
+    ranks = counts.join(F.broadcast(parts), F.col("__part") == F.col("__p")).select(F.col("__v").alias("__w"), "__n", "__all", rounded((F.col("__before") + within + (F.col("__n") + 1) / 2.0) / F.col("__all") * 100.0, digits).alias(out))
+    often = F.col("__n") * HOT_VALUES > F.col("__all")
+    hot = F.broadcast(ranks.filter(often).select("__w", out))
+    found = df.join(hot, F.col("__v") == F.col("__w"), "left")
+    done = found.filter(F.col("__w").isNotNull()).drop("__w")
+    rest = found.filter(F.col("__w").isNull()).drop("__w", out).join(ranks.select("__w", out), F.col("__v") == F.col("__w")).drop("__w")
+    return done.unionByName(rest).drop("__v")
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -68,6 +78,40 @@ def search(df: DataFrame, cols: Sequence[str], query: str) -> DataFrame:
     return df.filter(reduce(or_, [F.lower(F.col(c)).contains(q) for c in cols]))
 
 
+def search_pattern(df: DataFrame, col: str, pattern: str) -> DataFrame:
+    """Rows in which a column matches a regular expression somewhere, whatever the case; NULL matches nothing."""
+    return df.filter(F.coalesce(F.col(col).rlike(f"(?i){pattern}"), F.lit(False)))
+
+
+def known(df: DataFrame, cols: Sequence[str], sentinels: Sequence[str] = ("unknown", "other")) -> DataFrame:
+    """Rows whose columns hold a value that is none of the sentinels, whatever the case."""
+    return df.na.drop(subset=list(cols)).filter(reduce(and_, [~F.lower(F.col(c)).isin(*sentinels) for c in cols]))
+
+
+def vague(df: DataFrame, category: str = "category", review: str = "needs_review") -> DataFrame:
+    """Rows without a clear category, or for review."""
+    return df.filter((F.col(category) == "others") | F.coalesce(F.col(review), F.lit(False)))
+
+
+def join_first(left: DataFrame, right: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """``left`` with the first row of each key of ``right``."""
+    return left.join(latest(right, [key], order), key, "left")
+
+
+def top_ascending(df: DataFrame, measure: str, n: int, tie: str) -> DataFrame:
+    """The n largest rows, shown with the smallest first."""
+    return df.orderBy(F.desc(measure), F.asc(tie)).limit(n).orderBy(F.asc(measure), F.desc(tie))
+
+
+def look_ahead(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, rows: int, stop: Column, out: str) -> DataFrame:
+    """The values of up to ``rows`` rows after each row, before the first for which ``stop`` (of a value) holds."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, rows)
+    ends = F.collect_list(F.struct(F.coalesce(stop, F.lit(False)).alias("s"), F.col(col).alias("v"))).over(w)
+    first = F.array_position(F.transform("__w", lambda x: x["s"]), True)
+    kept = F.when(first > 0, F.slice("__w", F.lit(1), (first - 1).cast("int"))).otherwise(F.col("__w"))
+    return df.withColumn("__w", ends).withColumn(out, F.filter(F.transform(kept, lambda x: x["v"]), lambda v: v.isNotNull())).drop("__w")
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` from 1; smaller numbers give the first."""
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)

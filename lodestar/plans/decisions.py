@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import tempfile
 import uuid
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 from lodestar.functions import features as X
 from lodestar.functions import scoring as S
 from lodestar.functions import text as T
-from lodestar.operators import classify, entity, extract, recommend, similarity, tables
+from lodestar.functions import values as V
+from lodestar.operators import classify, content, entity, extract, recommend, similarity, tables
 from lodestar.plans.base import SQL_CUSTOMERS, SQL_TIER, query, sql_round, table
 from lodestar.plans.reports import SQL_NEED, SQL_SIZE, profile
 from lodestar.streaming.ingest import ingest
@@ -52,7 +56,7 @@ def cascade_methods(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy(classify.cascade(layers, [near, F.col("t.method")]).alias("method")).agg(F.count("*").alias("parts"))
 
 
-SQL_SIM = "SELECT q.vec_id AS query, r.vec_id AS ref, r.label AS label, round_even(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) * 1000000.0, 0) / 1000000.0 AS sim FROM embeddings q, embeddings r WHERE q.vec_id % 5 = 0 AND r.vec_id % 5 <> 0"
+SQL_SIM = "SELECT q.vec_id AS query, r.vec_id AS ref, r.label AS label, round_even(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) * 1000000.0, 0) / 1000000.0 AS sim, round_even(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) * 1000000000000.0, 0) AS fine FROM embeddings q, embeddings r WHERE q.vec_id % 5 = 0 AND r.vec_id % 5 <> 0"
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -60,13 +64,13 @@ def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     return e.filter("id % 5 = 0"), e.filter("id % 5 <> 0"), e.select(F.col("id").alias("ref"), "label")
 
 
-@query(f"SELECT query, label, sim, CASE WHEN round_even(sim * 1000, 0) / 1000 >= 0.9 THEN 'embedding_similarity' WHEN round_even(sim * 1000, 0) / 1000 >= 0.85 THEN 'embedding_similarity_low_confidence' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, ref) AS r FROM ({SQL_SIM})) WHERE r = 1")
+@query(f"SELECT query, label, sim, CASE WHEN round_even(sim * 1000, 0) / 1000 >= 0.9 THEN 'embedding_similarity' WHEN round_even(sim * 1000, 0) / 1000 >= 0.85 THEN 'embedding_similarity_low_confidence' END AS method FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fine DESC, ref) AS r FROM ({SQL_SIM})) WHERE r = 1")
 def nn_classify(spark: SparkSession, sf: str) -> DataFrame:
     q, r, labels = _vectors(spark, sf)
     return similarity.nearest(q, r, 1).join(labels, "ref").select("query", "label", "sim", similarity.embedding_method(F.col("sim")).alias("method"))
 
 
-@query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, ref DESC) AS r FROM ({SQL_SIM})), k AS (SELECT * FROM n WHERE r <= 5 AND sim >= 0.1),
+@query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fine DESC, ref DESC) AS r FROM ({SQL_SIM})), k AS (SELECT * FROM n WHERE r <= 5 AND sim >= 0.1),
 v AS (SELECT query, label, round_even(sum(sim) * 1000000.0, 0) / 1000000.0 AS votes, min(r) AS f FROM k GROUP BY 1, 2), t AS (SELECT query, max(sim) AS top_sim FROM k GROUP BY 1)
 SELECT query, label, votes, top_sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY votes DESC, f) AS w FROM v) JOIN t USING (query) WHERE w = 1""")
 def knn_vote(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,82 +78,128 @@ def knn_vote(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.weighted_vote(similarity.nearest(q, r, 5, ties_last=True).join(labels, "ref"), "label", 0.1).select("query", "label", "votes", "top_sim")
 
 
-@query(f"SELECT query, ref, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, ref) AS r FROM ({SQL_SIM}) WHERE sim >= 0.35) WHERE r <= 8")
+@query(f"SELECT query, ref, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fine DESC, ref) AS r FROM ({SQL_SIM}) WHERE sim >= 0.35) WHERE r <= 8")
 def content_topk(spark: SparkSession, sf: str) -> DataFrame:
     q, r, _ = _vectors(spark, sf)
     return similarity.nearest(q, r, 8, floor=0.35).select("query", "ref", "sim", "rank")
 
 
-#: Offers for the driver's tables, and the fixed rules whose targets are among them.
-OFFERS = [("iot_m2m", "iot"), ("fixed_fibre_pro", "fixed"), ("fixed_thd_fibre", "fixed"), ("security_secure_sdwan", "security"), ("security_edr", "security"), ("collab_ms365", "collab"), ("cloud_ohost", "cloud"), ("mobile_forfait_business_progress", "mobile")]
+#: The offers of the fixed rules; a flag is TRUE or FALSE.
+OFFERS = list(csv.DictReader(io.StringIO(resources.files(__package__).joinpath("offer_catalog.csv").read_text("utf-8"))))
+OFFER_IDS = sorted(o["offer_id"] for o in OFFERS)
 
 
-def _some_rules() -> list[tuple[str, str, str, str, float]]:
-    names, families = {o for o, _ in OFFERS}, {f for _, f in OFFERS}
-    return [r for r in recommend.load_rules() if (r[2] == "offer" and r[3] in names) or (r[2] == "family" and r[3] in families)]
+def catalog(spark: SparkSession) -> DataFrame:
+    flags = ("is_mobility", "is_multisite", "is_security")
+    rows = [(*(o[c] for c in ("offer_id", "offer_name", "family")), *(o[c] == "TRUE" for c in flags), OFFER_IDS.index(o["offer_id"])) for o in OFFERS]
+    return spark.createDataFrame(rows, "offer_id string, offer_name string, family string, is_mobility boolean, is_multisite boolean, is_security boolean, o int")
 
 
-_SQL_FIELD = {"cat": "category", "capital": "capital_tier", "size": "company_size", "maturity": "maturity", "digital": "digital_signal", "mobility": "mobility_signal", "multisite": "multisite_signal", "international": "international_signal", "new_company": "is_new_company"}
-
-
-def _sql_predicate(p: str) -> str:
-    import re
-
-    p = re.sub(r"(\w+) in \(([^)]*)\)", lambda m: f"coalesce({_SQL_FIELD[m[1]]} IN ({', '.join(repr(x.strip()) for x in m[2].split(','))}), false)", p)
-    return re.sub(r"\b(mobility|multisite|international|new_company)\b(?!_)", lambda m: _SQL_FIELD[m[1]], p)
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
 SQL_PROFILE = f"""(SELECT c_custkey, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'healthcare' ELSE lower(c_mktsegment) END AS category, {SQL_TIER} AS capital_tier, {SQL_SIZE} AS company_size, {SQL_NEED} AS connectivity_need, coalesce(n_orders > 10, false) AS multisite_signal,
 CASE WHEN first_order IS NULL THEN 'unknown' WHEN date_diff('day', first_order, DATE '2001-08-01') / 365.25 < 1 THEN 'startup' WHEN date_diff('day', first_order, DATE '2001-08-01') / 365.25 < 3 THEN 'growing' WHEN date_diff('day', first_order, DATE '2001-08-01') / 365.25 < 10 THEN 'established' ELSE 'mature' END AS maturity,
 coalesce((year(DATE '2001-08-01') - year(last_order)) * 12 + month(DATE '2001-08-01') - month(last_order) BETWEEN 0 AND 12, false) AS is_new_company, c_nationkey % 2 = 0 AS mobility_signal, c_nationkey % 5 = 0 AS international_signal,
 CASE c_nationkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'standard' END AS digital_signal, c_acctbal, c_nationkey FROM {SQL_CUSTOMERS})"""
-SQL_FIRED = " UNION ALL ".join(f"SELECT c_custkey, {i} AS ord, '{n}' AS name, '{k}' AS kind, '{t}' AS target, CAST({s} AS DOUBLE) AS s FROM p WHERE {_sql_predicate(w)}" for i, (n, w, k, t, s) in enumerate(_some_rules()))
-SQL_OFFERS = "(VALUES " + ", ".join(f"('{o}', '{f}')" for o, f in OFFERS) + ") AS o(offer_id, family)"
-SQL_RULE_SCORES = f"""WITH p AS {SQL_PROFILE}, h AS ({SQL_FIRED})
-SELECT c_custkey, offer_id, {sql_round('1.0 - product(1.0 - s)', 4)} AS rule_score, count(*) AS n_rules_fired, string_agg(name, ',' ORDER BY s DESC, ord) AS rule_names
-FROM h JOIN {SQL_OFFERS} ON (kind = 'offer' AND target = offer_id) OR (kind = 'family' AND target = family) GROUP BY 1, 2"""
+#: The same with the sectors of the rules in place of the driver's market segments.
+SECTOR_OF = {"automobile": "transport", "building": "manufacturing", "furniture": "retail", "machinery": "tourism"}
+SQL_COMPANIES = f"(SELECT * REPLACE (CASE category {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in SECTOR_OF.items())} ELSE category END AS category) FROM {SQL_PROFILE})"
+
+
+def companies(spark: SparkSession, sf: str) -> DataFrame:
+    sector = F.col("category")
+    for k, v in SECTOR_OF.items():
+        sector = F.when(F.col("category") == k, v).otherwise(sector)
+    return profile(spark, sf).withColumn("category", sector)
+
+
+SQL_FIRED = " UNION ALL ".join(f"SELECT c_custkey, {i} AS ord, {_quoted(r.name)} AS name, {_quoted(r.reason)} AS reason, {_quoted(r.offer)} AS offer, {_quoted(r.family)} AS family, CAST({r.score} AS DOUBLE) AS s FROM p WHERE {r.when}" for i, r in enumerate(recommend.load_rules()))
+SQL_OFFERS = "(VALUES " + ", ".join(f"({_quoted(o['offer_id'])}, {_quoted(o['family'])}, {OFFER_IDS.index(o['offer_id'])})" for o in OFFERS) + ") AS o(offer_id, of_family, o)"
+SQL_RULE_SCORES = f"""WITH p AS {SQL_COMPANIES}, h AS ({SQL_FIRED})
+SELECT c_custkey, offer_id, {sql_round('1.0 - product(1.0 - s)', 4)} AS rule_score, count(*) AS n_rules_fired, string_agg(reason, ' | ' ORDER BY s DESC, ord) AS rule_reasons, string_agg(name, ',' ORDER BY s DESC, ord) AS rule_names
+FROM h JOIN {SQL_OFFERS} ON (h.offer = '' OR h.offer = offer_id) AND (h.family = '' OR h.family = of_family) GROUP BY 1, 2"""
 
 
 @query(SQL_RULE_SCORES)
 def rule_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return recommend.rule_scores(profile(spark, sf), spark.createDataFrame(OFFERS, "offer_id string, family string"), _some_rules(), company="c_custkey")
+    return recommend.rule_scores(companies(spark, sf), catalog(spark), recommend.load_rules(), company="c_custkey")
 
 
-def _purchases(spark: SparkSession, sf: str) -> DataFrame:
-    li, o, p = (table(spark, sf, t) for t in ("lineitem", "orders", "part"))
-    c = profile(spark, sf).select("c_custkey", "category", "company_size")
-    return li.select("l_orderkey", "l_partkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("category", "company_size", "p_brand")
+def _offer_text(o: dict[str, str]) -> str:
+    tags = " ; ".join(text for c, text in V.OFFER_TAGS.items() if o[c] == "TRUE")
+    return f"Offre: {o['offer_name']}. Categorie: {V.FAMILY_TEXTS[o['family']]}" + (f". Adapte a: {tags}." if tags else ".")
+
+
+def _sql_named(c: str, names: dict[str, str], label: str = "") -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(label + v)}" for k, v in names.items()) + " END"
+
+
+def _sql_terms(text: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower(strip_accents({text})), '[a-z]{{4,}}'), lambda w: NOT list_contains({V.PROFILE_STOP_WORDS}, w)))"
 
 
-SQL_PURCHASES = f"(SELECT category, company_size AS size, p_brand AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN {SQL_PROFILE} c ON o_custkey = c.c_custkey)"
+SQL_TEXT = f"concat_ws('. ', {_sql_named('category', V.SECTOR_TEXTS, 'Secteur: ')}, {_sql_named('company_size', V.SIZE_TEXTS, 'Taille: ')}, {_sql_named('maturity', V.MATURITY_TEXTS)}, {', '.join(f'CASE WHEN {c} THEN {_quoted(t)} END' for c, t in V.SIGNAL_TEXTS.items())}) || '.'"
+SQL_OFFER_TEXTS = "(VALUES " + ", ".join(f"({_quoted(o['offer_id'])}, {_quoted(_offer_text(o))})" for o in OFFERS) + ") AS t(offer_id, q)"
+SQL_CONTENT = f"""WITH c AS MATERIALIZED (SELECT c_custkey, {_sql_terms(SQL_TEXT)} AS v FROM {SQL_COMPANIES}), o AS MATERIALIZED (SELECT offer_id, {_sql_terms('q')} AS w FROM {SQL_OFFER_TEXTS}),
+s AS (SELECT c_custkey, offer_id, list_intersect(v, w) AS shared, coalesce(len(list_intersect(v, w)) / nullif(sqrt(CAST(len(v) AS DOUBLE) * len(w)), 0), 0) AS s FROM c, o),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY s DESC, offer_id) AS r FROM s WHERE s >= 0.1)
+SELECT c_custkey, offer_id, round_even(s * 10000.0, 0) / 10000.0 AS content_score, CAST(r AS INTEGER) AS rank, CASE WHEN len(shared) = 0 THEN 'semantic match' ELSE array_to_string(list_transform(list_sort(list_transform(shared, lambda x: struct_pack(n := -length(x), w := x)))[1:3], lambda x: x.w), ', ') END AS why_matched FROM r WHERE r <= 8"""
 
-@query(f"""WITH x AS {SQL_PURCHASES}, g AS (SELECT category, size, item, count(*) AS n, CASE WHEN GROUPING(size) = 0 THEN 'segment' WHEN GROUPING(category) = 0 THEN 'category' ELSE 'global' END AS level FROM x GROUP BY GROUPING SETS ((category, size, item), (category, item), (item)))
-SELECT level, category, size, item, n, {sql_round('n * 1.0 / total', 4)} AS share FROM (SELECT *, sum(n) OVER (PARTITION BY level, category, size) AS total FROM g) WHERE total >= 3 OR level = 'global'""")
+
+@query(SQL_CONTENT)
+def content_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """The text profiles of companies held against those of the offers, without an encoder."""
+    return content.content_scores(companies(spark, sf), catalog(spark), "c_custkey", floor=0.1)
+
+
+#: Purchases of offers: some have no category or a blank one, some parts are no offer.
+SQL_PURCHASES = f"""(SELECT CASE c_nationkey WHEN 3 THEN NULL WHEN 4 THEN ' ' ELSE category END AS category, nullif(company_size, 'Unknown') AS size, coalesce(offer_id, 'unmapped') AS item
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN {SQL_OFFERS} ON l_partkey % 41 = o JOIN {SQL_COMPANIES} c ON o_custkey = c.c_custkey)"""
+SQL_SHARES = f"""g AS (SELECT category, size, item, count(*) AS n, CASE WHEN GROUPING(size) = 0 THEN 'segment' WHEN GROUPING(category) = 0 THEN 'category' ELSE 'global' END AS level
+FROM (SELECT * FROM {SQL_PURCHASES} WHERE trim(category) <> '' AND trim(item) <> '' AND item <> 'unmapped') GROUP BY GROUPING SETS ((category, size, item), (category, item), (item))),
+a AS (SELECT level, category, size, item, n, {sql_round('n * 1.0 / total', 4)} AS share FROM (SELECT *, sum(n) OVER (PARTITION BY level, category, size) AS total FROM g WHERE level <> 'segment' OR size IS NOT NULL) WHERE total >= 3 OR level = 'global')"""
+
+
+def _purchases(spark: SparkSession, sf: str) -> DataFrame:
+    li, o = (table(spark, sf, t) for t in ("lineitem", "orders"))
+    names = F.create_map(*[x for i, k in enumerate(OFFER_IDS) for x in (F.lit(i).cast("long"), F.lit(k))])
+    bought = li.select("l_orderkey", F.coalesce(F.try_element_at(names, F.col("l_partkey") % 41), F.lit(V.UNMAPPED)).alias("item")).join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c = companies(spark, sf).select("c_custkey", F.when(F.col("c_nationkey") == 3, None).when(F.col("c_nationkey") == 4, " ").otherwise(F.col("category")).alias("category"), F.nullif("company_size", F.lit("Unknown")).alias("company_size"))
+    sizes = c.select(F.col("c_custkey").alias("o_custkey"), "company_size")
+    return recommend.with_size(bought, sizes, "o_custkey", "company_size").join(c.select("c_custkey", "category"), F.col("o_custkey") == F.col("c_custkey")).select("category", "company_size", "item")
+
+
+@query(f"WITH {SQL_SHARES} SELECT level, category, size, item, n, share FROM a")
 def affinity_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return recommend.affinity(_purchases(spark, sf), "category", "company_size", "p_brand")
+    return recommend.affinity(_purchases(spark, sf), "category", "company_size", "item")
 
 
-@query(f"""WITH x AS {SQL_PURCHASES}, g AS (SELECT category, size, item, count(*) AS n, CASE WHEN GROUPING(size) = 0 THEN 'segment' WHEN GROUPING(category) = 0 THEN 'category' ELSE 'global' END AS level FROM x GROUP BY GROUPING SETS ((category, size, item), (category, item), (item))),
-a AS (SELECT level, category, size, item, n, {sql_round('n * 1.0 / total', 4)} AS share FROM (SELECT *, sum(n) OVER (PARTITION BY level, category, size) AS total FROM g) WHERE total >= 3 OR level = 'global'),
-c AS (SELECT c_custkey, category AS c, company_size AS z, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.level = 'segment' AND a.category = p.category AND a.size = p.company_size) THEN 'segment' WHEN EXISTS (SELECT 1 FROM a WHERE a.level = 'category' AND a.category = p.category) THEN 'category' ELSE 'global' END AS level FROM {SQL_PROFILE} p)
+SQL_COLLAB = f"""WITH {SQL_SHARES}, c AS (SELECT c_custkey, category AS c, company_size AS z, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.level = 'segment' AND a.category = p.category AND a.size = p.company_size) THEN 'segment' WHEN EXISTS (SELECT 1 FROM a WHERE a.level = 'category' AND a.category = p.category) THEN 'category' ELSE 'global' END AS level FROM {SQL_COMPANIES} p)
 SELECT c_custkey, item, share, CASE c.level WHEN 'segment' THEN 'segment:' || c || '×' || z WHEN 'category' THEN 'category:' || c ELSE 'global_popularity' END AS source, CAST(rank AS INTEGER) AS rank FROM (
-SELECT c.*, a.item, a.share, row_number() OVER (PARTITION BY c_custkey ORDER BY share DESC, n DESC, item) AS rank FROM c JOIN a ON a.level = c.level AND (c.level = 'global' OR (a.category = c AND (c.level = 'category' OR a.size = z)))) c WHERE rank <= 10""")
+SELECT c.*, a.item, a.share, row_number() OVER (PARTITION BY c_custkey ORDER BY share DESC, n DESC, item) AS rank FROM c JOIN a ON a.level = c.level AND (c.level = 'global' OR (a.category = c AND (c.level = 'category' OR a.size = z)))) c WHERE rank <= 10"""
+
+
+@query(SQL_COLLAB)
 def collab_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    t = recommend.affinity(_purchases(spark, sf), "category", "company_size", "p_brand")
-    return recommend.with_fallback(profile(spark, sf), t, "c_custkey", "category", "company_size").select("c_custkey", "item", "share", "source", "rank")
+    return recommend.with_fallback(companies(spark, sf), affinity_shares(spark, sf), "c_custkey", "category", "company_size").select("c_custkey", "item", "share", "source", "rank")
 
 
-@query(f"""WITH r AS ({SQL_RULE_SCORES}), j AS (SELECT c_custkey, offer_id, row_number() OVER (PARTITION BY c_custkey ORDER BY offer_id) AS o FROM customer CROSS JOIN {SQL_OFFERS}),
-f AS (SELECT j.c_custkey, j.offer_id, j.o, coalesce(rule_score, 0.0) AS rule_score, CAST((j.c_custkey % 10) AS DOUBLE) / 10 AS content_score FROM j LEFT JOIN r USING (c_custkey, offer_id)),
-s AS (SELECT *, {sql_round('0.4 * rule_score + 0.4 * content_score + 0.2 * 0.0', 4)} AS final_score FROM f)
-SELECT c_custkey, offer_id, final_score, rule_score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY final_score DESC, rule_score DESC, content_score DESC, o) AS k FROM s) WHERE k <= 3""")
+@query(f"""WITH r AS ({SQL_RULE_SCORES}), t AS ({SQL_CONTENT}), b AS ({SQL_COLLAB}),
+f AS (SELECT j.c_custkey, j.offer_id, j.o, coalesce(rule_score, 0.0) AS rule_score, coalesce(n_rules_fired, 0) AS n_rules_fired, coalesce(rule_reasons, '') AS rule_reasons, coalesce(content_score, 0.0) AS content_score, coalesce(why_matched, '') AS why_matched, coalesce(share, 0.0) AS collab_score, coalesce(source, 'none') AS collab_source
+FROM (SELECT c_custkey, offer_id, o FROM customer CROSS JOIN {SQL_OFFERS}) j LEFT JOIN r USING (c_custkey, offer_id) LEFT JOIN t USING (c_custkey, offer_id) LEFT JOIN b ON b.c_custkey = j.c_custkey AND b.item = j.offer_id),
+s AS (SELECT *, {sql_round('0.4 * rule_score + 0.4 * content_score + 0.2 * collab_score', 4)} AS final_score FROM f)
+SELECT c_custkey, CAST(k AS INTEGER) AS rank, offer_id, final_score, rule_score, content_score, collab_score, n_rules_fired, rule_reasons, collab_source, why_matched, CASE WHEN final_score >= 0.6 THEN 'Strong match' WHEN final_score >= 0.45 THEN 'Good match' WHEN final_score >= 0.3 THEN 'Possible fit' ELSE 'Weak signal' END AS match
+FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY final_score DESC, rule_score DESC, content_score DESC, o) AS k FROM s) WHERE k <= 3""")
 def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
-    offers = F.explode(F.array(*[F.struct(F.lit(o).alias("offer_id"), F.lit(i).alias("o")) for i, (o, _) in enumerate(sorted(OFFERS))]))
+    """The three layers over every company and offer, fused."""
+    offers = F.explode(F.array(*[F.struct(F.lit(o).alias("offer_id"), F.lit(i).alias("o")) for i, o in enumerate(OFFER_IDS)]))
     pairs = table(spark, sf, "customer").select("c_custkey", offers.alias("x")).select("c_custkey", "x.*")
-    rule = rule_scores(spark, sf).select("c_custkey", "offer_id", "rule_score")
-    content = pairs.select("c_custkey", "offer_id", (F.col("c_custkey") % 10 / 10.0).alias("content_score"))
-    collab = spark.createDataFrame([], "c_custkey long, offer_id string, collab_score double")
-    return recommend.fuse(pairs, rule, content, collab, "c_custkey", "offer_id", "o").select("c_custkey", "offer_id", "final_score", "rule_score", "rank")
+    rule = rule_scores(spark, sf).drop("rule_names")
+    collab = collab_fallback(spark, sf).select("c_custkey", F.col("item").alias("offer_id"), F.col("share").alias("collab_score"), F.col("source").alias("collab_source"))
+    best = recommend.fuse(pairs, rule, content_layer(spark, sf).drop("rank"), collab, "c_custkey", "offer_id", "o")
+    return best.select("c_custkey", "rank", "offer_id", "final_score", "rule_score", "content_score", "collab_score", "n_rules_fired", "rule_reasons", "collab_source", "why_matched", recommend.match_label(F.col("final_score")).alias("match"))
 
 
 def _sql_factor(x: str, table_: dict, default: float) -> str:
@@ -252,7 +302,7 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-@query()
+@query("SELECT DISTINCT sha256(text) AS sha256 FROM documents")
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as a stream, the first of each content kept, read back from the sink."""
     base = spark.conf.get("spark.checkpoint.dir", None)

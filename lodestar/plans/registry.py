@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.plans import decisions, reports, views  # noqa: F401  they register their queries
+from lodestar.plans import decisions, features, reports, views  # noqa: F401  they register their queries
 from lodestar.plans.base import ORACLES, QUERIES, Query
 
 

