@@ -140,7 +140,11 @@ def katz_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     are not read. ``model_dir``: where to keep the model's tables (``words``: word -> count by word
     hash; ``ngrams``: bigram counts by context; ``backoff``: weights), each partitioned by bucket.
     """
-    ws = Workspace(spark, "katz")
+    with Workspace(spark, "katz") as ws:
+        return _scores(ws, docs, id_col, text_col, fold, held, model_dir)
+
+
+def _scores(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, fold: int, held: int, model_dir: str | None) -> DataFrame:
     blocks = ws.write(token_blocks(docs, id_col, text_col, lower=True), "blocks")
     n = buckets_for(blocks.agg(F.sum("tokens")).first()[0] or 0)
     kept = model_dir is not None
