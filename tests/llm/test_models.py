@@ -56,6 +56,24 @@ def test_contaminated(spark, sf, edge, empty):
     assert dec.drop_contaminated(edge, nulls).count() == edge.count() - 1
 
 
+def test_contaminated_rows(spark, sf):
+    """Every row, score and count of seeds against whole-document alignments."""
+    docs, bench, _ = planted(spark, sf)
+    items = {r.item_id: dec.words(r.text.encode()) for r in bench.collect() if r.item_id < 8}
+    docs = [d for d in docs if d[0] < 10 or d[0] < 1045]
+    want = {}
+    for d, text in docs:
+        ws = dec.words(text.encode())
+        for i, item in items.items():
+            seeds = sum(tuple(ws[p : p + 3]) == tuple(item[q : q + 3]) for p in range(len(ws) - 2) for q in range(len(item) - 2))
+            vocab = {w: k for k, w in enumerate(dict.fromkeys([*ws, *item]))}
+            if seeds and (best := brute_alignment([vocab[w] for w in item], [vocab[w] for w in ws])) >= len(item):
+                want[d, i] = (best / (2 * len(item)), seeds)
+    some = bench.filter("item_id < 8")
+    got = {(r.doc_id, r.item_id): (r.score, r.n_seeds) for r in dec.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), some).collect()}
+    assert got == want and len(want) >= 20
+
+
 def edited(words, every):
     return " ".join(w if (j + 1) % every else f"changed{j}" for j, w in enumerate(words))
 
@@ -109,6 +127,25 @@ def test_language(spark, docs, edge, empty):
     assert len(rows) == edge.count() and {r.lang_pred for r in rows if r.doc_id in (1, 2, 3, 9)} == {"und"}
 
 
+def test_forward_pass():
+    """Label probabilities of every byte against a plain loop over steps."""
+    net, r = lid.BiGru(3, 4), np.random.default_rng(5)
+    x = r.integers(0, 256, (9, 2))
+    for n in range(2):
+        both = {}
+        for d, steps in (("f", range(9)), ("b", range(8, -1, -1))):
+            state = np.zeros(4)
+            for t in steps:
+                a, u = net.p["e" + d][:, x[t, n]], net.p["u" + d] @ state
+                z, reset = (np.clip(0.5 + 0.25 * (a[k : k + 4] + u[k : k + 4]), 0, 1) for k in (0, 4))
+                new = np.clip(a[8:] + reset * u[8:], -1, 1)
+                state = z * state + (1 - z) * new
+                both[d, t] = state
+        for t in range(9):
+            s = np.exp(net.p["w"] @ np.concatenate([both["f", t], both["b", t]]) + net.p["c"][:, 0])
+            assert np.allclose(net.probabilities(x)[t, :, n], s / s.sum(), atol=1e-5)
+
+
 def test_pool_does_not_depend_on_neighbours():
     net = lid.BiGru(3)
     texts = [b"a", b"", b"some words " * 30, b"x" * 64, b"y" * 65]

@@ -182,6 +182,11 @@ def test_token_counts(spark, docs, edge, empty):
         assert sum(r.n_tokens for r in got) == len(tokens.encode(d.text))
         assert "".join(d.text[r.start_char : r.end_char] for r in got) == d.text
         assert all(d.text[r.start_char : r.end_char].count("\n") <= 1 for r in got)
+        body, at, want = d.text.encode(), 0, Counter()  # the line in which each token's first byte lies
+        for t in tokens.encode(d.text):
+            want[body[:at].count(b"\n")] += 1
+            at += int(tokens.lengths[t])
+        assert len(body) > 20_000 or {r.section: r.n_tokens for r in got if r.n_tokens} == dict(want)
     assert token_counts.token_counts(empty, ranks, P.PATTERN).count() == 0
     got = token_counts.token_counts(edge, ranks, P.PATTERN).collect()
     assert [(r.section, r.n_tokens) for r in got if r.doc_id == 1] == [(0, 0)] and {r.doc_id for r in got} == {None, *range(1, 11)}
