@@ -131,7 +131,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     Found are copies that keep ``n`` words of the item in a row; n_seeds counts the n-grams found.
 
     Null and empty texts and items match nothing. A null document id is returned as such; repeated
-    rows are all reported. Empty tables give no rows.
+    rows are all reported. Texts of any length are read whole. Only the named columns are read, so
+    names of others can't clash. Empty tables give no rows.
     """
     texts = slim(docs, id_col, text_col)
     out = [_report(texts, block, threshold) for block in item_blocks(benchmark, item_col, item_text, n, block_bytes)]

@@ -208,7 +208,9 @@ def identify(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     """doc_id, held_out, lang_pred, score for every row of ``docs``.
 
     ``und`` with score 0 where the text is null, empty or without a letter, or where no labelled row
-    was there to learn from. A null id is in no fold. Repeated rows are all labelled.
+    was there to learn from. A null id is in no fold. Repeated rows are all labelled. A text of any
+    length is labelled whole. Only the named columns are read, so names of others can't clash. Empty
+    table: no rows.
     """
     langs, net = train(docs, id_col, text_col, lang_col, fold, held)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

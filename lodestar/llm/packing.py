@@ -114,7 +114,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     ``tokenizer``: path of a vocabulary file of the tokenizers library, on every machine. Every
     document ends in ``end_id``; a null or empty text is that id alone. ``sequence_id`` counts up
     within a range of ids and is unique over all. Null ids come first, repeated ids are documents of
-    their own. Empty table: no rows.
+    their own. A text of any length is packed whole, in as many sequences as it needs. Only the two
+    named columns are read, so names of others can't clash. Empty table: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

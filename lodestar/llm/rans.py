@@ -151,7 +151,9 @@ FILE = "part long, segment long, tokens long, body binary"
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, segment: int = SEGMENT) -> None:
     """Encode every whole text, append ``end_id``, and write segments in ascending order of ids to ``path``.
 
-    Null ids come first, null texts are ``end_id`` alone, repeated ids follow one another.
+    Null ids come first, null and empty texts are ``end_id`` alone, repeated ids follow one another. A
+    text longer than a segment makes a segment of its own. Only the two named columns are read, so
+    names of others can't clash. Empty table: no segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,7 +62,9 @@ def token_counts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
     ``spans_col``: a column array<struct<start, end>> of fields in characters, in any order and free
     to overlap; beyond the text's end they are cut. By default the fields are the lines of the text,
     each with its line end, so their counts add up to the whole document's. A null or empty text has
-    one empty section without tokens. Repeated rows and null ids are returned as they come.
+    one empty section without tokens. Repeated rows and null ids are returned as they come. A text of
+    any length is encoded whole. Only the named columns are read, so names of others can't clash.
+    Empty table: no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
