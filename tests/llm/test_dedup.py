@@ -1,6 +1,7 @@
 """Operators 3, 7 and 8 against brute force."""
 
 import hashlib
+import random
 import re
 import tracemalloc
 from array import array
@@ -249,3 +250,15 @@ def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(1000, 1200)] + [(1, 100)]
     got = {r.node: r.root for r in components(Workspace(spark, "t"), spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 1 for k in (1, *range(100, 161))} | {k: 5 for k in (5, *range(1000, 1200))}
+
+
+def test_few_links_meet_in_one_task_and_more_go_by_rounds(spark):
+    rnd = random.Random(8)
+    edges = [(k, k + 1) for k in range(-50, 400, 2)] + [(rnd.randrange(-50, 900), rnd.randrange(900, 2000)) for _ in range(700)] + [(7, 8)] * 3
+    df = spark.createDataFrame(edges, "u long, v long")
+    ws = Workspace(spark, "t")
+    few = {r.node: r.root for r in components(ws, df).collect()}
+    assert not ws.rounds  # each written round costs the driver memory
+    assert few == {r.node: r.root for r in components(ws, df, few=0).collect()} and ws.rounds
+    assert set(few) == {x for e in edges for x in e} and all(few[u] == few[v] <= min(u, v) for u, v in edges)
+    assert components(ws, df.limit(0)).count() == 0 == components(ws, df.limit(0), few=-1).count()
