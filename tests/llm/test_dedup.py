@@ -262,3 +262,18 @@ def test_few_links_meet_in_one_task_and_more_go_by_rounds(spark):
     assert few == {r.node: r.root for r in components(ws, df, few=0).collect()} and ws.rounds
     assert set(few) == {x for e in edges for x in e} and all(few[u] == few[v] <= min(u, v) for u, v in edges)
     assert components(ws, df.limit(0)).count() == 0 == components(ws, df.limit(0), few=-1).count()
+
+
+def test_the_stage_writes_few_tables_without_marks(spark, docs, monkeypatch):
+    names, write = [], Workspace.write
+
+    def told(self, df, name, *a):
+        out = write(self, df, name, *a)
+        names.append(name)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        assert not any(f.getPath().getName() == "_SUCCESS" for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
+        return out
+
+    monkeypatch.setattr(Workspace, "write", told)
+    assert cp.drop_near_copies(spark, docs, "").count() > 0
+    assert len(names) == len(set(names)) <= 14  # with rounds of components it was over 20
