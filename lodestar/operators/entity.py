@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import values as V
 from lodestar.functions.features import rounded
+from lodestar.operators.best_names import best_names
 from lodestar.operators.tables import top_n
 
 
@@ -61,6 +62,30 @@ def best_matches(left: DataFrame, right: DataFrame, score: Column, left_id: str,
     return top_n(pairs.filter("score > 0"), [left_id], [F.desc("score"), F.asc(right_id)], 1, "__r").drop("__r")
 
 
+def best_by_name(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: str, right_name: str, digits: int = 6, block: str = "block") -> DataFrame:
+    """As :func:`best_matches` for the rounded token similarity, without making all pairs of a block."""
+    sides = (df.filter(F.col(block) != "").select(F.col(i).cast("long").alias("id"), F.coalesce(F.col(n), F.lit("")).alias("name"), F.col(block).alias("block")) for df, i, n in ((left, left_id, left_name), (right, right_id, right_name)))
+    return _best_ids(best_names(*sides, ["block"], [], [], _ratio, digits=digits), left_id, right_id)
+
+
+def best_by_profile(left: DataFrame, right: DataFrame, left_id: str, right_id: str, digits: int = 3) -> DataFrame:
+    """As :func:`best_matches` for the rounded :func:`pair_score` of name, place and phone, without making all pairs of a block.
+
+    Both sides have an id, block, name, place and phone. A pair with equal phones scores more than it would
+    without, so that it does no harm to see it as one without as well.
+    """
+    w = V.MATCH_WEIGHTS
+    a, b = (df.filter("block <> ''").select(F.col(i).cast("long").alias("id"), *[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in (("name", "name"), ("block", "block"), ("phone", "phone"), ("place", p))]) for df, i, p in ((left, left_id, "left_place"), (right, right_id, "right_place")))
+    local = w[1] * locality((F.col("left_place"), F.col("right_place")))
+    found = [best_names(x, y, block, ["left_place"], ["right_place"], _ratio, w[0], [local, F.lit(w[2] * phone)], digits) for x, y, block, phone in ((a, b, ["block"], 0.0), (a.filter("phone <> ''"), b.filter("phone <> ''"), ["block", "phone"], 1.0))]
+    return _best_ids(found[0].unionByName(found[1]), left_id, right_id)
+
+
+def _best_ids(found: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    one = top_n(found, ["id"], [F.desc("score"), F.asc_nulls_last("other")], 1, "__r")
+    return one.select(F.col("id").alias(left_id), F.col("other").alias(right_id), "score")
+
+
 def decide(score: Column) -> Column:
     return F.when(score >= V.ACCEPT, "match").when(score >= V.REVIEW, "review").otherwise("unmatched")
 

@@ -276,7 +276,7 @@ def master_union(spark: SparkSession, sf: str) -> DataFrame:
 def entity_token_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """The difflib similarity, after the block."""
     s, c = _pairs(spark, sf)
-    return entity.best_matches(s, c, X.rounded(entity.token_similarity(T.normalize_name(F.col("s_name")), T.normalize_name(F.col("c_name"))), 6), "s_suppkey", "c_custkey")
+    return entity.best_by_name(s.withColumn("s_name", T.normalize_name(F.col("s_name"))), c.withColumn("c_name", T.normalize_name(F.col("c_name"))), "s_suppkey", "c_custkey", "s_name", "c_name")
 
 
 @query("SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE lang <> 'empty' AND (quality = 0 OR toxic = 1)")

@@ -1,6 +1,7 @@
 """Functions and operators on literal rows, at their boundaries."""
 
 import datetime as dt
+import random
 import unicodedata
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import features as X
 from lodestar.functions import scoring as S
 from lodestar.functions import text as T
-from lodestar.operators import audit, classify, content, entity, extract, recommend, scorers, similarity, tables
+from lodestar.operators import audit, best_names, classify, content, entity, extract, recommend, scorers, similarity, tables
 from lodestar.sources import files
 from lodestar.streaming.ingest import ingest, lifecycle, pending, watch
 
@@ -241,6 +242,44 @@ def test_entity_pairs(spark):
     assert [round(r[0], 6) for r in df.select(score).collect()] == [0.9, 0.55]
 
 
+def test_best_by_name_and_profile_without_all_pairs(spark, monkeypatch):
+    rnd = random.Random(11)
+    words = ["alpha", "beta", "gamma", "ab", "ba", "abab", "x1", "zürich", "naïve", "long" * 20]
+
+    def side(n, first):
+        return [(first + k, " ".join(rnd.choices(words, k=rnd.randrange(4))), rnd.choice(["tunis", "tunis nord", "sfax", "", None]), rnd.choice(["1", "2", "33", "", None]), rnd.choice(["p", "p", "q", "", None])) for k in range(n)]
+
+    a, b = side(60, 0), side(150, 1000)
+    left, right = (spark.createDataFrame(x, "id long, name string, place string, phone string, block string") for x in (a, b))
+    left, right = left.withColumnRenamed("id", "l"), right.withColumnRenamed("id", "r")
+    x, y = left.toDF("l", "n1", "p1", "f1", "block"), right.toDF("r", "n2", "p2", "f2", "block")
+    name = entity.token_similarity(F.col("n1"), F.col("n2"))
+    whole = entity.pair_score(name, entity.locality((F.col("p1"), F.col("p2"))), F.col("f1"), F.col("f2"))
+    want = {k: sorted(map(tuple, entity.best_matches(x, y, X.rounded(c, d), "l", "r").collect())) for k, c, d in (("name", name, 6), ("all", whole, 3))}
+    monkeypatch.setattr(best_names, "CHUNK_LEFT", 5)
+    monkeypatch.setattr(best_names, "CHUNK_RIGHT", 7)
+    assert sorted(map(tuple, entity.best_by_name(left, right, "l", "r", "name", "name").collect())) == want["name"]
+    assert sorted(map(tuple, entity.best_by_profile(left, right, "l", "r").collect())) == want["all"]
+
+
+def test_best_name_asks_difflib_for_few_pairs():
+    rnd, asked = random.Random(5), []
+
+    def ratio(a, b):
+        asked.append(b)
+        return entity._ratio(a, b)
+
+    names = [f"customer {k:09d}" for k in rnd.sample(range(10**6), 2000)]
+    right = best_names.Names(names, range(2000))
+    for a in [names[7], "customer 000000xyz", f"customer {rnd.randrange(10**6):09d}", "other", "customer", "a" * 70]:
+        want = min(((-round(entity._ratio(a, b), 6), k) for k, b in enumerate(names)))
+        got = best_names.search(a, right, ratio, 1.0, (), 6)
+        assert (got and (-got[0], got[1])) == (want if want[0] else None)
+    asked.clear()
+    best_names.search(names[7], right, ratio, 1.0, (), 6)
+    assert len(asked) == 1
+
+
 def test_extract(spark):
     text = "PAGE 1\n=====\nName | Alpha Co | x\n\nPAGE 2\n--- TABLE 1 ---\nCity | Tunis\nName | later"
     df = spark.createDataFrame([(1, text)], "k int, t string")
