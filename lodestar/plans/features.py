@@ -186,13 +186,12 @@ def entity_resolution(spark: SparkSession, sf: str) -> DataFrame:
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     place = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
-    def side(name: str, key: str, nation: str, prefix: str):
+    def side(name: str, key: str, nation: str):
         df = table(spark, sf, name).join(F.broadcast(place), F.col(nation) == F.col("n_nationkey"))
         norm = T.normalize_name(F.concat(F.replace("n_name", F.lit("_"), F.lit("")), F.lit(" SARL")))
-        phone = T.normalize_phone(F.concat(F.lit("+216 "), F.lpad(F.col(key).cast("string"), 8, "0")))
-        return df.select(key, norm.alias(f"{prefix}_name"), F.col("r_name").alias(f"{prefix}_place"), phone.alias(f"{prefix}_phone"), T.first_token(norm).alias("block"))
+        phone = T.normalize_phone(F.concat(F.lit("+216 00000000"), F.col(key).cast("string")))  # lpad would keep the first digits of long keys
+        return df.select(key, norm.alias("name"), F.col("r_name").alias("place"), phone.alias("phone"), T.first_token(norm).alias("block"))
 
-    s, c = side("supplier", "s_suppkey", "s_nationkey", "s"), side("customer", "c_custkey", "c_nationkey", "c")
-    c = c.withColumn("c_place", F.when(F.col("c_custkey") % 2 == 0, F.col("c_place")).otherwise(""))
-    score = entity.pair_score(entity.token_similarity(F.col("s_name"), F.col("c_name")), entity.locality((F.col("s_place"), F.col("c_place"))), F.col("s_phone"), F.col("c_phone"))
-    return entity.best_matches(s, c, X.rounded(score, 3), "s_suppkey", "c_custkey").withColumn("decision", entity.decide(F.col("score")))
+    s, c = side("supplier", "s_suppkey", "s_nationkey"), side("customer", "c_custkey", "c_nationkey")
+    c = c.withColumn("place", F.when(F.col("c_custkey") % 2 == 0, F.col("place")).otherwise(""))
+    return entity.best_by_profile(s, c, "s_suppkey", "c_custkey").withColumn("decision", entity.decide(F.col("score")))

@@ -39,3 +39,13 @@ def test_rows_only(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(registry.queries()) <= set(entry.queries())
+
+
+def test_entity_resolution_compares_the_last_digits_of_long_keys(spark, sf, tmp_path):
+    c = duckdb.connect()
+    data = {"supplier": "SELECT 123456789::BIGINT AS s_suppkey, 3 AS s_nationkey UNION ALL SELECT 5, 3", "customer": "SELECT unnest([12345678, 12, 223456789, 323456789])::BIGINT AS c_custkey, 3 AS c_nationkey"}
+    for t in ("supplier", "customer", "nation", "region"):
+        c.sql(f"COPY ({data.get(t, f'SELECT * FROM {chr(39)}{sf}/{t}.parquet{chr(39)}')}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = registry.queries()["entity_resolution"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(c.sql(registry.oracles()["entity_resolution"]).fetchall())
